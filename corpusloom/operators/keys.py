@@ -18,22 +18,18 @@ def measured_broadcast(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(small) if small.count() <= most_rows else small
 
 
-def one_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+def one_per_key(df: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
     """One row per non-null key: the one with the largest `order`, ties by a hash of the whole row; rows with a null key go.
 
-    Only the key column is shuffled for the whole table. Rows whose key is unique pass through without a shuffle; the
+    Only the key columns are shuffled for the whole table. Rows whose key is unique pass through without a shuffle; the
     few re-delivered ones are reduced with a map-side combined max_by, so one key may hold any share of the rows.
     """
-    again = cut(df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
+    keys = [key] if isinstance(key, str) else list(key)
+    df = df.dropna(subset=keys)
+    again = cut(df.groupBy(*keys).count().filter("count > 1").select(*keys))
     cols = [F.col(f"`{c}`") for c in df.columns]
     hint = measured_broadcast(again)
-    single = df.filter(F.col(key).isNotNull()).join(hint, key, "left_anti")
     rank = [F.col(order)] if order else []
     hashed = F.xxhash64(*[F.to_json(F.struct(c)) for c in cols])
-    many = (
-        df.join(hint, key, "left_semi")
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*cols), F.struct(*rank, hashed)).alias("_row"))
-        .select("_row.*")
-    )
-    return single.select(*cols).unionByName(many)
+    many = df.join(hint, keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*rank, hashed)).alias("_row"))
+    return df.join(hint, keys, "left_anti").select(*cols).unionByName(many.select("_row.*"))
