@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import p1_site_lines, p3_near_copies, p5_repetition, p8_leaks
+from corpusloom.llm import p1_site_lines, p2_neighbours, p3_near_copies, p5_repetition, p8_leaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: p1_site_lines.found(r(s, d, "scraped_pages")),
         "p1_clean": lambda s, d: p1_site_lines.clean(r(s, d, "scraped_pages")),
+        "p2_found": lambda s, d: p2_neighbours.found(r(s, d, "doc_vectors"), r(s, d, "run_reports")),
+        "p2_recall": lambda s, d: p2_neighbours.recall(r(s, d, "doc_vectors"), r(s, d, "run_reports")),
         "p3_found": lambda s, d: p3_near_copies.found(r(s, d, "scraped_pages"), r(s, d, "doc_records")),
         "p3_groups": lambda s, d: p3_near_copies.groups(r(s, d, "scraped_pages"), r(s, d, "doc_records")),
         "p5_found": lambda s, d: p5_repetition.found(r(s, d, "scraped_pages")),
