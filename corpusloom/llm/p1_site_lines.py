@@ -10,7 +10,6 @@ without lines; a page whose url has no host belongs to no site and has no repeat
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,9 +47,10 @@ def site_pages(pages: DataFrame) -> DataFrame:
 class Summary:
     """Misra-Gries counters of one site. `missed` bounds by how much any line's count may be too low."""
 
-    __slots__ = ("counts", "missed", "pages", "lines")
+    __slots__ = ("counts", "missed", "pages", "lines", "share")
 
-    def __init__(self) -> None:
+    def __init__(self, share: float) -> None:
+        self.share = share
         self.counts: dict[int, int] = {}
         self.missed = self.pages = self.lines = 0
 
@@ -68,16 +68,16 @@ class Summary:
             self.counts = {k: x - off for k, x in c.items() if x > off}
 
     def room(self) -> int:
-        return max(LEAST_COUNTERS, int(SPARE * self.lines / max(1.0, MIN_SHARE * self.pages)))
+        return max(LEAST_COUNTERS, int(SPARE * self.lines / max(1.0, self.share * self.pages)))
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     sites: dict[str, Summary] = {}
     for b in batches:
         for site, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             s = sites.get(site)
             if s is None:
-                s = sites[site] = Summary()
+                s = sites[site] = Summary(share)
             s.add(keys or [])
     site, key, count = [], [], []
     for name, s in sites.items():
@@ -91,7 +91,7 @@ def repeated_lines(lines: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """(site, key, pages): the lines on at least min_pages pages and min_share of the pages of their site, exactly."""
     per_page = lines.filter("site is not null").select("site", F.array_distinct(F.filter("keys", lambda k: k.isNotNull())).alias("keys"))
     need = per_page.groupBy("site").agg(F.greatest(F.lit(min_pages), F.ceil(F.count(F.lit(1)) * F.lit(min_share) - F.lit(1e-9))).alias("need"))
-    merged = per_page.mapInArrow(_summaries, "site string, key bigint, n bigint").groupBy("site", "key").agg(F.sum("n").alias("n"))
+    merged = per_page.mapInArrow(lambda it: _summaries(it, min_share), "site string, key bigint, n bigint").groupBy("site", "key").agg(F.sum("n").alias("n"))
     merged = cut(merged)
     short = merged.filter("key is null").select("site", F.col("n").alias("missed"))
     bounds = cut(need.join(short, "site"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import p1_site_lines, p2_neighbours, p3_near_copies, p5_repetition, p8_leaks
+from corpusloom.llm import p1_site_lines, p2_neighbours, p3_near_copies, p4_main_body, p5_repetition, p8_leaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "p2_recall": lambda s, d: p2_neighbours.recall(r(s, d, "doc_vectors"), r(s, d, "run_reports")),
         "p3_found": lambda s, d: p3_near_copies.found(r(s, d, "scraped_pages"), r(s, d, "doc_records")),
         "p3_groups": lambda s, d: p3_near_copies.groups(r(s, d, "scraped_pages"), r(s, d, "doc_records")),
+        "p4_found": lambda s, d: p4_main_body.found(r(s, d, "scraped_pages")),
+        "p4_clean": lambda s, d: p4_main_body.clean(r(s, d, "scraped_pages")),
+        "p4_wrappers": lambda s, d: p4_main_body.wrappers(r(s, d, "scraped_pages")),
         "p5_found": lambda s, d: p5_repetition.found(r(s, d, "scraped_pages")),
         "p5_shares": lambda s, d: p5_repetition.shares(r(s, d, "scraped_pages")),
         "p8_found": lambda s, d: p8_leaks.found(r(s, d, "documents"), r(s, d, "eval_items")),
