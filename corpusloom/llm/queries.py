@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import p1_site_lines, p2_neighbours, p3_near_copies, p4_main_body, p5_repetition, p8_leaks
+from corpusloom.llm import p1_site_lines, p2_neighbours, p3_near_copies, p4_main_body, p5_repetition, p6_text_types, p7_residue, p8_leaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def queries() -> dict[str, Query]:
         "p4_wrappers": lambda s, d: p4_main_body.wrappers(r(s, d, "scraped_pages")),
         "p5_found": lambda s, d: p5_repetition.found(r(s, d, "scraped_pages")),
         "p5_shares": lambda s, d: p5_repetition.shares(r(s, d, "scraped_pages")),
+        "p6_found": lambda s, d: p6_text_types.found(r(s, d, "scraped_pages")),
+        "p6_statistics": lambda s, d: p6_text_types.types(r(s, d, "scraped_pages")),
+        "p7_found": lambda s, d: p7_residue.found(r(s, d, "scraped_pages")),
+        "p7_report": lambda s, d: p7_residue.report(r(s, d, "scraped_pages")),
         "p8_found": lambda s, d: p8_leaks.found(r(s, d, "documents"), r(s, d, "eval_items")),
         "p8_report": lambda s, d: p8_leaks.report(r(s, d, "documents"), r(s, d, "eval_items")),
         "p8_clean": lambda s, d: p8_leaks.clean(r(s, d, "documents"), r(s, d, "eval_items")),
