@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import p1_site_lines, p2_neighbours, p3_near_copies, p4_main_body, p5_repetition, p6_text_types, p7_residue, p8_leaks
+from corpusloom.llm import p10_subjects, p1_site_lines, p2_neighbours, p3_near_copies, p4_main_body, p5_repetition, p6_text_types, p7_residue, p8_leaks, p9_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda s, d: p8_leaks.found(r(s, d, "documents"), r(s, d, "eval_items")),
         "p8_report": lambda s, d: p8_leaks.report(r(s, d, "documents"), r(s, d, "eval_items")),
         "p8_clean": lambda s, d: p8_leaks.clean(r(s, d, "documents"), r(s, d, "eval_items")),
+        "p9_mix": lambda s, d: p9_mixing.mix(r(s, d, "documents"), r(s, d, "source_targets")),
+        "p9_shares": lambda s, d: p9_mixing.shares(r(s, d, "documents"), r(s, d, "source_targets")),
+        "p10_found": lambda s, d: p10_subjects.found(r(s, d, "documents"), r(s, d, "subjects"), r(s, d, "subject_labels")),
+        "p10_composition": lambda s, d: p10_subjects.composition(r(s, d, "documents"), r(s, d, "subjects"), r(s, d, "subject_labels")),
     }
 
 
