@@ -161,9 +161,9 @@ def cosine_pairs(vectors: DataFrame, vector_id: str, samples: int = 2000, near:
     spark = vectors.sparkSession
     width = (span.hi - span.lo + 1) if span.lo is not None else 1
     lo = span.lo or 0
-    s = spark.range(samples).select(
-        (F.pmod(F.col("id") * 7919 + seed, F.lit(width)) + lo).alias("a"), (F.pmod(F.col("id") * 104729 + 31 * seed, F.lit(width)) + lo).alias("b")
-    ).filter("a <> b")
+    at = F.pmod(F.col("id") * 7919 + seed, F.lit(width))
+    step = F.pmod(F.col("id") * 104729 + 31 * seed, F.lit(max(1, width - 1))) + 1
+    s = spark.range(samples).select((at + lo).alias("a"), (F.pmod(at + step, F.lit(width)) + lo).alias("b")).filter("a <> b")
     left, right = good.select(F.col("v").alias("a"), F.col("embedding").alias("x")), good.select(F.col("v").alias("b"), F.col("embedding").alias("y"))
     c = F.broadcast(s).join(left, "a").join(right, "b").filter(F.size("x") == F.size("y")).select(S.cosine(F.col("x"), F.col("y")).alias("c"))
     return c.agg(F.count("c").alias("pairs"), F.avg("c").alias("mean_cos"), F.stddev_pop("c").alias("std_cos"), F.percentile("c", F.lit(0.95)).alias("p95_cos"), F.percentile("c", F.lit(0.99)).alias("p99_cos"), F.max("c").alias("max_cos"), F.count_if(F.col("c") >= near).alias("near_pairs"))

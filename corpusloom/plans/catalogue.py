@@ -101,7 +101,7 @@ def dim_variance(s: SparkSession, d: str) -> DataFrame:
 
 @_query("""
 WITH b AS (SELECT min(vec_id) AS lo, max(vec_id) - min(vec_id) + 1 AS w FROM embeddings),
-s AS (SELECT (i * 7919 + 42) % w + lo AS a, (i * 104729 + 1302) % w + lo AS b FROM range(2000) r(i), b),
+s AS (SELECT (i * 7919 + 42) % w + lo AS a, ((i * 7919 + 42) % w + (i * 104729 + 1302) % greatest(1, w - 1) + 1) % w + lo AS b FROM range(2000) r(i), b),
 c AS (SELECT list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda p: p[1] * p[2]))
     / (sqrt(list_sum(list_transform(x.embedding::DOUBLE[], lambda p: p * p))) * sqrt(list_sum(list_transform(y.embedding::DOUBLE[], lambda p: p * p)))) AS c
   FROM s JOIN embeddings x ON x.vec_id = s.a JOIN embeddings y ON y.vec_id = s.b WHERE s.a <> s.b)

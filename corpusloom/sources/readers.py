@@ -40,14 +40,14 @@ def jsonl_records(spark: SparkSession, path: str) -> DataFrame:
 
     Line numbers are physical and need the file as a whole: one task for each file, so write large sets as many files.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "line")).filter(~_blank(F.col("line")))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "line")).filter(~_blank(F.col("line")))
     r = lines.select((F.col("i") + 1).alias("line_no"), "line", F.from_json("line", "id string, text string, metadata map<string,string>").alias("r")).filter(F.try_parse_json("line").isNotNull())
     return r.filter(~_blank(F.col("r.text"))).select("line_no", F.coalesce(F.nullif("r.id", F.lit("")), F.concat(F.lit("jsonl_doc_"), F.col("line_no").cast("string"))).alias("id"), F.col("r.text").alias("text"), F.col("r.metadata").alias("metadata"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, id, chars) of a manifest; a broken line or a missing id raises with its line number."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "line")).filter(~_blank(F.col("line")))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "line")).filter(~_blank(F.col("line")))
     no = F.col("i") + 1
     r = F.from_json("line", f"id string, chars bigint, metadata {RECORD_META}")
     bad = F.try_parse_json("line").isNull() | r["id"].isNull()
