@@ -18,5 +18,38 @@ SELECT page_id, line_no FROM ln JOIN ok USING (site, k)
 """
 
 
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+P5_FOUND = f"""
+WITH {_PAGES},
+w AS (SELECT page_id, {_WORDS.format("content")} AS w FROM pg WHERE content IS NOT NULL),
+g AS (SELECT page_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS g FROM (SELECT page_id, w, unnest(range(0, len(w) - 5)) AS i FROM w)),
+later AS (SELECT page_id, i FROM g QUALIFY i > min(i) OVER (PARTITION BY page_id, g)),
+inside AS (SELECT page_id, count(DISTINCT i + j) AS n FROM later, range(6) r(j) GROUP BY page_id)
+SELECT page_id FROM inside JOIN w USING (page_id) WHERE n >= 0.25 * len(w)
+"""
+
+P8_FOUND = f"""
+WITH it AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+iw AS (SELECT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g
+       FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS i FROM it WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dw AS (SELECT doc_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM d, ks WHERE len(w) >= k))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k, g)
+"""
+
+P3_FOUND = f"""
+WITH {_PAGES},
+rec AS (SELECT DISTINCT row_id, text FROM doc_records WHERE row_id IS NOT NULL),
+t AS (SELECT 'scraped_pages' AS src, page_id AS id, {_WORDS.format("content")} AS w FROM pg WHERE content IS NOT NULL
+      UNION ALL SELECT 'doc_records', row_id, {_WORDS.format("text")} FROM rec WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT src, id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT src, id, w, unnest(range(0, len(w) - 2)) AS i FROM t WHERE len(w) >= 50)),
+n AS (SELECT src, id, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.src = b.src AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT o.src, id_a, id_b FROM o JOIN n x ON x.src = o.src AND x.id = id_a JOIN n y ON y.src = o.src AND y.id = id_b WHERE o >= 0.6 * (x.n + y.n - o)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND}
