@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
 from corpusloom.functions import text as T
+from corpusloom.operators import vector
 
 # Words that count as action words; limits of the alerts.
 ACTION_WORDS = ("can", "offer", "provide", "include", "available")
@@ -25,6 +26,17 @@ def answer_eval(df: DataFrame, key: str, answer: str) -> DataFrame:
     return df.select(key, T.preview(a, 200).alias("preview"), T.word_count(a).alias("answer_words"), a.rlike(r"\p{Nd}").alias("has_numbers"), F.exists(F.array(*map(F.lit, ACTION_WORDS)), lambda w: F.contains(low, w)).alias("has_action_words"))
 
 
+def relevance(answered: DataFrame, encoder: vector.Encoder | None = None, most: int = 500) -> DataFrame:
+    """Answers (query_id, query, answer, context) with answer_relevance and context_relevance: cosines of the question with the
+    answer and with the first `most` characters of each document, in order; zero vectors give 0."""
+    q = vector.encode(vector.encode(answered, "query", encoder, out="_q"), "answer", encoder, out="_a")
+    each = q.select("query_id", "_q", F.posexplode("context").alias("_i", "_d")).withColumn("_t", F.left("_d.content", F.lit(most)))
+    each = vector.encode(each, "_t", encoder, out="_c").select("query_id", F.struct("_i", S.cosine(F.col("_q"), F.col("_c")).alias("c")).alias("_x"))
+    lists = each.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["c"]).alias("context_relevance"))  # at most k a query
+    out = q.withColumn("answer_relevance", S.cosine(F.col("_q"), F.col("_a"))).drop("_q", "_a").join(lists, "query_id", "left")
+    return out.withColumn("context_relevance", F.coalesce("context_relevance", F.array().cast("array<double>")))
+
+
 def pipeline_eval(df: DataFrame) -> DataFrame:
     """Answers (query_id, answer, docs, answer_relevance, context_relevance) with preview, sizes and quality flags."""
     r = F.coalesce("answer_relevance", F.lit(0.0))

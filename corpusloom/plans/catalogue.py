@@ -338,15 +338,18 @@ def verify_parse(s: SparkSession, d: str) -> DataFrame:
     return r.select("event_id", answers.verification(F.col("reply")).alias("v")).select("event_id", "v.is_grounded", "v.confidence", "v.parse_ok")
 
 
-@_query()
-def answer_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Every held-out item as a question over the encoded records: retrieval, generation, verification."""
+def _answers(s: SparkSession, d: str) -> DataFrame:
     r = _records(s, d).filter("trim(text) <> ''")
     v = vector.encode(r.select(F.col("row_id").alias("vector_id"), "text"), "text").select("vector_id", "embedding")
     meta = r.select(F.col("row_id").alias("vector_id"), "id", F.col("metadata.source_title").alias("source"), F.col("text").alias("content"))
     q = _t(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    a = answers.answer(q, v, meta)
-    return a.select("query_id", "status", F.size("context").alias("num_sources"), F.length("answer").alias("answer_chars"), "verification.parse_ok")
+    return answers.answer(q, v, meta)
+
+
+@_query()
+def answer_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Every held-out item as a question over the encoded records: retrieval, generation, verification."""
+    return _answers(s, d).select("query_id", "status", F.size("context").alias("num_sources"), F.length("answer").alias("answer_chars"), "verification.parse_ok")
 
 
 @_query(f"WITH {_DOCS}, s AS (SELECT query_id, rank, source, 1 / (1 + d2) AS score FROM h JOIN m USING (query_id, rank)) SELECT query_id, rank::INT AS rank, coalesce(nullif(source, ''), 'Document ' || rank) AS title, printf('%.1f', floor(score * 1000 + 0.5) / 10) AS percent FROM s")
@@ -356,6 +359,13 @@ def shown_sources(s: SparkSession, d: str) -> DataFrame:
     return e.select("query_id", "rank", F.coalesce(F.nullif("source", F.lit("")), F.concat(F.lit("Document "), F.col("rank").cast("string"))).alias("title"), F.format_string("%.1f", F.floor(F.col("score") * 1000 + 0.5) / 10).alias("percent"))
 
 
+@_query()
+def pipeline_eval(s: SparkSession, d: str) -> DataFrame:
+    """Relevance of answers and contexts by the encoder, previews and quality flags."""
+    e = evaluate.pipeline_eval(evaluate.relevance(_answers(s, d)).withColumnRenamed("context", "docs"))
+    return e.select("query_id", "preview", "answer_words", "num_sources", F.round("answer_relevance", 4).alias("answer_relevance"), F.round("avg_context_relevance", 4).alias("avg_context_relevance"), "has_specific_info")
+
+
 # --- evaluation, reports, monitoring -------------------------------------------------------------------------------
 
 
@@ -446,6 +456,31 @@ def health_alerts(s: SparkSession, d: str) -> DataFrame:
     return evaluate.alerts(evaluate.health(_requests(s, d), ["user_id"])).select("user_id", F.array_join("alerts", ",").alias("alerts"))
 
 
+@_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS requests, round(avg(value), 6) AS avg_latency_ms FROM events GROUP BY ALL")
+def hourly_requests(s: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows of one hour for each service."""
+    w = _t(s, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg("value"), 6).alias("avg_latency_ms"))
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "requests", "avg_latency_ms")
+
+
+@_query("""
+WITH a AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS requests FROM b GROUP BY user_id, k""")
+def user_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user, apart by half an hour without requests."""
+    w = _t(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
+    return w.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "requests")
+
+
+@_query("SELECT coalesce(event_type, 'all') AS event_type, coalesce((user_id % 10)::VARCHAR, 'all') AS bucket, count(*) AS requests, grouping(event_type)::INT * 2 + grouping(user_id % 10)::INT AS level FROM events GROUP BY CUBE (event_type, user_id % 10)")
+def request_cube(s: SparkSession, d: str) -> DataFrame:
+    """Counts by service and user bucket with all subtotals."""
+    e = _t(s, d, "events").withColumn("bucket", F.col("user_id") % 10)
+    c = e.cube("event_type", "bucket").agg(F.count(F.lit(1)).alias("requests"), F.grouping_id().cast("int").alias("level"))
+    return c.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce(F.col("bucket").cast("string"), F.lit("all")).alias("bucket"), "requests", "level")
+
+
 @_query(f"WITH {PAGES} SELECT sum(metadata.word_count)::BIGINT AS words, count(metadata.word_count) AS counted, count(*) - count(metadata.word_count) AS skipped FROM pg")
 def word_count_sum(s: SparkSession, d: str) -> DataFrame:
     w = F.col("metadata.word_count")
