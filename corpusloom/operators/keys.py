@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-BROADCAST_ROWS = 2_000_000  #: rows of at most a few dozen bytes: some 100 MB
+BROADCAST_ROWS = 500_000  #: rows of at most a few dozen bytes: less than 100 MB as a hashed relation
 
 
 def measured_broadcast(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
