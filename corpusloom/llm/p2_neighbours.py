@@ -265,16 +265,19 @@ def neighbours(vectors: DataFrame, runs: DataFrame, k: int = K, factor: float =
                                 lists[i].append(c)
                         for i, ls in zip(at, lists):
                             out[i] = ls
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int64()))], ["run_id", "row_id", "embedding", "tau", "cells"])
-
-        blocks = spark.createDataFrame([(r, math.ceil(n / QUERIES)) for r, n in sizes.items()] or [(0, 1)], "run_id bigint, blocks int")
-        going = known.mapInArrow(visits, "run_id bigint, row_id bigint, embedding array<float>, tau double, cells array<bigint>")
-        going = going.withColumn("cell", F.explode("cells")).join(measured_broadcast(load), ["run_id", "cell"]).join(F.broadcast(blocks), "run_id")
-        going = going.withColumn("home", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        there = placed.select("run_id", "row_id", F.col("cell").alias("at"), F.col("part").alias("at_part"))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(out, pa.list_(pa.int64()))], ["run_id", "row_id", "tau", "cells"])
+
+        # what goes where, without the vectors: queries of a cell are cut into blocks by their number
+        sent = known.mapInArrow(visits, "run_id bigint, row_id bigint, tau double, cells array<bigint>")
+        sent = cut(sent.withColumn("cell", F.explode("cells")).select("run_id", "row_id", "tau", "cell"))
+        blocks = cut(sent.groupBy("run_id", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks")))
+        blocks_b, load_b = measured_broadcast(blocks), measured_broadcast(load)
+        there = placed.select("run_id", "row_id", F.col("embedding").alias("vector"), F.col("cell").alias("at"), F.col("part").alias("at_part"))
+        going = sent.join(load_b, ["run_id", "cell"]).join(blocks_b, ["run_id", "cell"])
+        going = going.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         going = going.join(there, ["run_id", "row_id"]).filter("cell <> at or part <> at_part")
         going = going.withColumn("block", F.pmod(F.xxhash64("row_id", F.lit(3)), F.col("blocks")).cast("int"))
-        stock = placed.join(F.broadcast(blocks), "run_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        stock = placed.join(blocks_b, ["run_id", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
         def away(q: pa.Table, s: pa.Table) -> pa.Table:
             names = ["run_id", "row_id", "nb", "sim"]
@@ -287,7 +290,7 @@ def neighbours(vectors: DataFrame, runs: DataFrame, k: int = K, factor: float =
             return pa.Table.from_arrays([q.column("run_id").take(pa.array(i)), q.column("row_id").take(pa.array(i)), pa.array(f.nb[i, j]), pa.array(f.sim[i, j])], names)
 
         keys = ["run_id", "cell", "part", "block"]
-        found_ = going.select(*keys, "row_id", "embedding", "tau").groupBy(*keys).cogroup(stock.select(*keys, "row_id", "embedding").groupBy(*keys)).applyInArrow(away, "run_id bigint, row_id bigint, nb bigint, sim double")
+        found_ = going.select(*keys, "row_id", F.col("vector").alias("embedding"), "tau").groupBy(*keys).cogroup(stock.select(*keys, "row_id", "embedding").groupBy(*keys)).applyInArrow(away, "run_id bigint, row_id bigint, nb bigint, sim double")
         hits = hits.unionByName(found_)
 
     best = hits.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "row_id").orderBy(F.desc("sim"), "nb"))).filter(F.col("n") <= k + 1)
