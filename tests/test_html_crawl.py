@@ -73,6 +73,24 @@ def test_jsonl_and_manifest(spark, tmp_path):
         readers.manifest(spark, str(tmp_path / "bad")).collect()
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    d = tmp_path / "lines"
+    d.mkdir()
+    want = {}
+    for k in range(3):
+        lines = [f"{k}-{i}" + "x" * (i % 50) if i % 7 else "" for i in range(3000)]
+        (d / f"{k}.txt").write_text("\n".join(lines) + "\n")
+        want |= {(f"{k}.txt", i + 1): x for i, x in enumerate(lines)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        n = readers.numbered_lines(spark, str(d))
+        assert n.rdd.getNumPartitions() > 5
+        assert {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in n.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_index(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "row_id bigint, embedding array<float>")
     r = spark.createDataFrame([(1, "a"), (2, "b")], "row_id bigint, text string")
