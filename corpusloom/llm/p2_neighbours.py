@@ -29,6 +29,7 @@ from corpusloom.session import cut
 
 K = 5
 FACTOR = 0.8
+NO_PRUNING = 1e9
 FIT, SHARD, LEAF, QUERIES = 2048, 4096, 256, 16384
 SLACK = 1e-5
 
@@ -308,9 +309,12 @@ def found(vectors: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def recall(vectors: DataFrame, runs: DataFrame, k: int = K, factor: float = FACTOR, every: int = 50) -> DataFrame:
-    """(run_id, queries, recall): the share of the exact k neighbours that the search finds, for the queries whose row_id is divisible by `every`."""
+    """(run_id, queries, recall): the share of the exact k neighbours that the search finds, for the queries whose row_id is divisible by `every`.
+
+    The exact ones come from comparing the queries with all vectors, in blocks and without any pruning.
+    """
     asks = lambda c: c % every == 0
     some = neighbours(vectors, runs, k, factor, asks).select("run_id", "row_id", "other")
-    all_ = neighbours(vectors, runs, k, 1.0, asks).select("run_id", "row_id", "other")
+    all_ = neighbours(vectors, runs, k, NO_PRUNING, asks).select("run_id", "row_id", "other")
     both = all_.join(some.withColumn("hit", F.lit(1)), ["run_id", "row_id", "other"], "left")
     return both.groupBy("run_id").agg(F.count_distinct("row_id").alias("queries"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))

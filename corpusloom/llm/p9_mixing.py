@@ -59,7 +59,7 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class Mix:
-    def __init__(self, documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = SEED) -> None:
+    def __init__(self, documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = SEED, total: int | None = None) -> None:
         counted = token_counts(documents, path)
         self.sizes = cut(counted.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("m")).select("doc_id", "m.source", "m.tokens"))
         have = self.sizes.filter("source is not null and tokens > 0").groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("documents"))
@@ -70,9 +70,9 @@ class Mix:
         usable = (F.col("have") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
         room = F.when(usable, F.col("have") * F.col("max_repeats") / F.col("target_share"))
         plan = plan.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("room", room)
-        total = plan.agg(F.min("room").alias("total"))
+        size = plan.agg((F.min("room") if total is None else F.lit(float(total))).alias("total"))
         ratio = F.when(F.col("usable"), F.least(F.col("total") * F.col("target_share") / F.col("have"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-        plan = plan.crossJoin(total).withColumn("ratio", ratio)  # the total is one row
+        plan = plan.crossJoin(size).withColumn("ratio", ratio)  # the total is one row
         whole = F.floor(F.col("ratio") + 1e-9)
         rest = F.greatest(F.lit(0.0), F.col("ratio") - whole) * F.col("have")
         #: one row per source: what it has, its target, whole copies and the tokens still to sample

@@ -62,6 +62,8 @@ def test_p9_shares(spark):
     assert s["small"].repeats <= 3 and s["big"].repeats <= 1
     a, b = ({tuple(r) for r in p9_mixing.mix(df, t).collect()} for _ in range(2))
     assert a == b and len(a) == len({x[0] for x in a}) and not {2000, 2001, 2002, 2003, None} & {x[0] for x in a}
+    large = {r.source: r for r in p9_mixing.Mix(df, t, total=10**7).shares().collect()}
+    assert large["small"].tokens == 3 * large["small"].have and large["big"].tokens == large["big"].have
     assert p9_mixing.mix(df.limit(0), t).count() == 0 and p9_mixing.mix(df, t.limit(0)).count() == 0 and p9_mixing.shares(df.limit(0), t).count() == 3
 
 
