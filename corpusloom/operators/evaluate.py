@@ -50,12 +50,17 @@ def aggregate_eval(results: DataFrame) -> DataFrame:
     avg_document_score is the mean over all documents, avg_first_score that of the first ones; latencies pool both steps.
     """
     ok = F.coalesce(F.col("success"), F.lit(False))
-    good = results.filter(ok)
-    head = results.agg(F.count(F.lit(1)).alias("queries"), F.count_if(ok).alias("succeeded"))
-    scores = good.select(F.explode("scores").alias("s")).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("avg_document_score"))
-    ms = good.select(F.explode(F.array("retrieval_ms", "pipeline_ms")).alias("ms")).agg(F.avg("ms").alias("avg_latency_ms"), F.min("ms").alias("min_latency_ms"), F.max("ms").alias("max_latency_ms"))
-    means = good.agg(F.avg("num_docs").alias("avg_documents"), F.avg(F.get("scores", F.lit(0))).alias("avg_first_score"), F.avg("answer_relevance").alias("avg_answer_relevance"), F.avg("context_relevance").alias("avg_context_relevance"))
-    one = head.crossJoin(scores).crossJoin(ms).crossJoin(means)  # all are single rows
+    of = lambda c: F.when(ok, c)
+    scores = F.coalesce(F.col("scores"), F.array().cast("array<double>"))
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    r, p = of(F.col("retrieval_ms")), of(F.col("pipeline_ms"))
+    one = results.agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(ok).alias("succeeded"),
+        F.coalesce(F.try_divide(F.sum(of(total)), F.sum(of(F.size(scores)))), F.lit(0.0)).alias("avg_document_score"), F.avg(of(F.get(scores, F.lit(0)))).alias("avg_first_score"),
+        F.avg(of(F.col("num_docs"))).alias("avg_documents"), F.avg(of(F.col("answer_relevance"))).alias("avg_answer_relevance"), F.avg(of(F.col("context_relevance"))).alias("avg_context_relevance"),
+        F.try_divide(F.coalesce(F.sum(r), F.lit(0.0)) + F.coalesce(F.sum(p), F.lit(0.0)), F.count(r) + F.count(p)).alias("avg_latency_ms"),
+        F.least(F.min(r), F.min(p)).alias("min_latency_ms"), F.greatest(F.max(r), F.max(p)).alias("max_latency_ms"),
+    )
     return one.filter("succeeded > 0").withColumn("success_rate", 100.0 * F.col("succeeded") / F.col("queries")).withColumn("failure_count", F.col("queries") - F.col("succeeded"))
 
 
@@ -67,9 +72,11 @@ def value_stats(df: DataFrame, column: str, by: list[str] | None = None, sample:
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """(bin, n): equal-width bins from the least to the largest value, the last one closed; nulls are left out, one value is one bin."""
     x = F.col(column).cast("double")
-    span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    b = F.when(F.col("lo") == F.col("hi"), F.lit(1)).otherwise(F.least(F.width_bucket(x, F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins)))
-    return df.filter(x.isNotNull()).crossJoin(F.broadcast(span)).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # the span is one row
+    span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if span.lo is None:
+        return df.limit(0).select(F.lit(1).alias("bin"), F.lit(0).cast("bigint").alias("n"))
+    b = F.lit(1) if span.lo == span.hi else F.least(F.width_bucket(x, F.lit(span.lo), F.lit(span.hi), F.lit(bins)), F.lit(bins))
+    return df.filter(x.isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def rolling_mean(df: DataFrame, key: list[str], order: list[str], column: str, width: int = 100) -> DataFrame:

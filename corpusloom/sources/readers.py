@@ -68,6 +68,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def checked_index(vectors: DataFrame, records: DataFrame, key: str = "row_id") -> DataFrame:
     """Vectors with their records by key; raises if the two do not have the same number of rows."""
-    a, b = vectors.agg(F.count(F.lit(1)).alias("a")), records.agg(F.count(F.lit(1)).alias("b"))
-    n = a.crossJoin(b).select(F.assert_true(F.col("a") == F.col("b"), "vectors and records differ in number").isNull().alias("ok"))  # single rows
-    return vectors.join(records, key).crossJoin(F.broadcast(n)).filter("ok").drop("ok")
+    a, b = vectors.count(), records.count()
+    if a != b:
+        raise ValueError(f"vectors and records differ in number: {a} and {b}")
+    return vectors.join(records, key)
