@@ -122,11 +122,11 @@ def embedding_checks(s: SparkSession, d: str) -> DataFrame:
     return vector.run_checks(_t(s, d, "doc_vectors"), _t(s, d, "run_reports"))
 
 
-@_query(f"WITH {RECORDS} SELECT v.run_id, v.row_id, r.id, length(r.text) AS chars FROM (SELECT DISTINCT run_id, row_id FROM doc_vectors) v JOIN rec r USING (row_id)")
+@_query(f"WITH {RECORDS} SELECT v.run_id, v.row_id, r.id, coalesce(length(r.text), 0) AS chars FROM (SELECT DISTINCT run_id, row_id FROM doc_vectors) v JOIN rec r USING (row_id)")
 def index_join(s: SparkSession, d: str) -> DataFrame:
     """Vector rows with their records: the positional lookup as an equi-join on the key."""
     v = _t(s, d, "doc_vectors").select("run_id", "row_id").distinct()
-    return v.join(_records(s, d), "row_id").select("run_id", "row_id", "id", F.length("text").alias("chars"))
+    return v.join(_records(s, d), "row_id").select("run_id", "row_id", "id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
 
 
 @_query()
@@ -232,9 +232,9 @@ def ordered_union(s: SparkSession, d: str) -> DataFrame:
     return dedup.ordered_union(a, b).groupBy("src_ord").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
-@_query(f"WITH {RECORDS} SELECT id, row_id, length(text) AS chars FROM rec QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1")
+@_query(f"WITH {RECORDS} SELECT id, row_id, coalesce(length(text), 0) AS chars FROM rec QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1")
 def dedup_keep_first(s: SparkSession, d: str) -> DataFrame:
-    return dedup.keep_first(_records(s, d).select("id", "row_id", F.length("text").alias("chars")), "id", "row_id")
+    return dedup.keep_first(_records(s, d).select("id", "row_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")), "id", "row_id")
 
 
 @_query(f"WITH {RECORDS} SELECT count(*) AS rows, count(DISTINCT coalesce(id, chr(0))) AS distinct_ids, count(*) - count(DISTINCT coalesce(id, chr(0))) AS duplicates FROM rec")
@@ -456,10 +456,10 @@ def health_alerts(s: SparkSession, d: str) -> DataFrame:
     return evaluate.alerts(evaluate.health(_requests(s, d), ["user_id"])).select("user_id", F.array_join("alerts", ",").alias("alerts"))
 
 
-@_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS requests, round(avg(value), 6) AS avg_latency_ms FROM events GROUP BY ALL")
+@_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS requests, round(avg(value), 9) AS avg_latency_ms FROM events GROUP BY ALL")
 def hourly_requests(s: SparkSession, d: str) -> DataFrame:
     """Tumbling windows of one hour for each service."""
-    w = _t(s, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg("value"), 6).alias("avg_latency_ms"))
+    w = _t(s, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg("value"), 9).alias("avg_latency_ms"))
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "requests", "avg_latency_ms")
 
 
