@@ -126,7 +126,7 @@ def clean(pages: DataFrame, size: int = 500, stride: int = 450) -> DataFrame:
     once = one_per_key(few, "page_id", "loaded_at").join(drop, "page_id", "left")
     split = F.split("content", "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains("drop", i.cast("bigint")), F.lit(False)))
-    once = once.select("page_id", F.array_join(kept, "\n").alias("content"), F.coalesce(F.size("drop"), F.lit(0)).alias("removed"))
+    once = once.select("page_id", F.array_join(kept, "\n").alias("content"), F.size(F.coalesce("drop", F.array().cast("array<bigint>"))).alias("removed"))
     # a word with the white space before it; the first of a window loses that space
     words = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(\s*\S+)"), 1)
     starts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))

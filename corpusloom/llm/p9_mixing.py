@@ -70,9 +70,10 @@ class Mix:
         usable = (F.col("have") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
         room = F.when(usable, F.col("have") * F.col("max_repeats") / F.col("target_share"))
         plan = plan.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("room", room)
-        size = plan.agg((F.min("room") if total is None else F.lit(float(total))).alias("total"))
-        ratio = F.when(F.col("usable"), F.least(F.col("total") * F.col("target_share") / F.col("have"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-        plan = plan.crossJoin(size).withColumn("ratio", ratio)  # the total is one row
+        room_ = plan.agg(F.min("room")).first()[0] if total is None else float(total)
+        size = F.lit(float(room_ or 0.0))
+        ratio = F.when(F.col("usable"), F.least(size * F.col("target_share") / F.col("have"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+        plan = plan.withColumn("ratio", ratio)
         whole = F.floor(F.col("ratio") + 1e-9)
         rest = F.greatest(F.lit(0.0), F.col("ratio") - whole) * F.col("have")
         #: one row per source: what it has, its target, whole copies and the tokens still to sample
@@ -107,10 +108,11 @@ class Mix:
     def shares(self) -> DataFrame:
         """(source, target_share, max_repeats, documents, have, tokens, repeats, actual_share): what was really reached."""
         got = self.chosen().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("repeats"))
-        total = got.agg(F.sum("tokens").alias("all"))
-        out = self.plan.join(got, "source", "left").crossJoin(total)  # the total is one row
+        got = cut(got)  # one row per source
+        all_ = F.lit(int(got.agg(F.sum("tokens")).first()[0] or 0))
+        out = self.plan.join(got, "source", "left")
         zero = F.lit(0)
-        return out.select("source", "target_share", "max_repeats", F.coalesce("documents", zero).alias("documents"), F.coalesce("have", zero).alias("have"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("repeats", zero).alias("repeats"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"))
+        return out.select("source", "target_share", "max_repeats", F.coalesce("documents", zero).alias("documents"), F.coalesce("have", zero).alias("have"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("repeats", zero).alias("repeats"), F.coalesce(F.try_divide(F.col("tokens"), all_), F.lit(0.0)).alias("actual_share"))
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
