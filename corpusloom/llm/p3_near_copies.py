@@ -7,9 +7,8 @@ collection would compare all pairs of leaves, so texts are first routed to shard
 eight-word window (windows are picked by their hash, so both texts of a pair pick the same ones). Trees of many shards
 are built and traversed together in numpy. Surviving pairs are checked on their exact shingle sets.
 
-Skew: exact copies (equal shingle sets) are one class with a representative; windows shared by more than HOT texts are
-only used for texts that consist of such windows for a good part (a pair above the threshold shares at least that part),
-and their shards are split into salted blocks that are joined block by block.
+Skew: exact copies (equal shingle sets) are one class with a representative; the shards of windows shared by more than
+HOT texts are split into salted blocks that are joined block by block, so every text stays in the shards of all its windows.
 
 Defined results: null ids, null and short texts (fewer than MIN_WORDS words) take part in no pair; repeated ids count
 once; identical texts are pairs with similarity 1.
@@ -32,7 +31,7 @@ MIN_WORDS, SHINGLE, THRESHOLD = 50, 3, 0.6
 ROUTE, ROUTE_LEAST = 8, 24  #: words of a routing window; windows that every text keeps at least
 BITS = 1024
 FAN = 8
-HOT, BLOCK, HOT_SHARE = 256, 1024, 0.25
+HOT, BLOCK = 256, 1024
 FULL = 16  #: classes of up to so many copies are written out pair by pair; larger ones as links to their representative
 SLICE = 1 << 17
 
@@ -182,12 +181,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     out = cold_rows.select("src", F.col("win").alias("shard"), F.lit(-1).alias("side"), "id", "n", "sig")
     if hot.count():
         hot_b = measured_broadcast(hot)
-        mostly = (
-            reps.select("src", "id", F.size("wins").alias("all"), F.explode("wins").alias("win")).join(hot_b, ["src", "win"], "left_semi")
-            .groupBy("src", "id", "all").count().filter(F.col("count") >= HOT_SHARE * F.col("all")).select("src", "id")
-        )
-        mostly = cut(mostly)
-        hot_rows = each.join(measured_broadcast(mostly), ["src", "id"], "left_semi").join(hot_b, ["src", "win"])
+        hot_rows = each.join(hot_b, ["src", "win"])
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
         salted = hot_rows.withColumn("k", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

@@ -144,6 +144,20 @@ def test_hot_windows_lose_nothing(texts, monkeypatch):
     assert brute_pairs([r for r in rows if r[0] == 0]) <= got
 
 
+def test_texts_with_few_hot_windows_keep_them(spark, monkeypatch):
+    monkeypatch.setattr(p3_near_copies, "HOT", 2)
+    monkeypatch.setattr(p3_near_copies, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = []
+    for g in range(6):  # moved sentences: of 9 words only two windows of 8 survive, 22 %
+        parts = [" ".join(f"g{g}w{rng.randrange(10_000)}" for _ in range(9)) for _ in range(22)]
+        for i in range(5):
+            rng.shuffle(parts)
+            rows.append((0, 10 * g + i, " ".join(parts)))
+    got = {tuple(r) for r in p3_near_copies.NearCopies(spark.createDataFrame(rows, "src int, id bigint, text string")).pairs().collect()}
+    assert got == brute_pairs(rows) and len(got) == 60
+
+
 def test_tree_drops_no_pair_above_the_threshold():
     rng = np.random.default_rng(0)
     sets = [rng.choice(3000, 120, replace=False) for _ in range(40)]
