@@ -4,7 +4,9 @@ Method: union-free wrapper inference on line streams. Lines that recur on a site
 is a text slot. The streams of a site's pages are aligned one after the other into one expression without unions: tokens
 missing on some pages become optional, tokens that follow themselves become repeated, runs of other lines become slots.
 Partial expressions are merged by the same alignment, so pages of a site never meet in one task. The expression tells
-where each token stands relative to the running text; with a small grammar of furniture lines it labels every line.
+where each token stands relative to the running text: a token on a good share of a site's pages is furniture wherever it
+stands, a rarer short one where it always stands behind the text. A small grammar of furniture lines labels what recurs on
+too few pages, and spares bylines, legal notices and remarks.
 
 Defined results: null ids go, a repeated page_id counts once (latest delivery); null and empty content has no lines; a
 page without host is labelled by the grammar alone; blank lines are never furniture.
@@ -29,6 +31,7 @@ from corpusloom.operators.keys import measured_broadcast, one_per_key
 from corpusloom.session import cut
 
 TOKEN_PAGES, TOKEN_SHARE = 4, 0.01  #: a line on so many pages, and so large a share of them, is a template token
+TEMPLATE_SHARE = 0.25  #: share of a site's pages from which a token is furniture in any place
 NAV_SHARE = 0.05  #: share of a site's pages on which a menu label stands
 MOST_NODES = 400  #: nodes of one expression; the rarest optional ones go first
 BOX_LINES = 8  #: lines that a side box has at most after its head
@@ -267,12 +270,18 @@ def common_words(texts: DataFrame) -> frozenset[str]:
 class Site:
     """What the expression of a site says of its lines."""
 
-    def __init__(self, nodes: str | None, labels: list[str] | None, common: frozenset[str] = frozenset()) -> None:
+    def __init__(self, nodes: str | None, labels: list[str] | None, common: frozenset[str] = frozenset(), pages: int | None = None) -> None:
         self.common = common
         self.nav = set(labels or [])
         self.outside: set[int] = set()
         self.boxes: set[int] = set()
+        self.template: set[int] = set()
+        self.behind: set[int] = set()
         for n in _load(nodes) if nodes else []:
+            if n.pages >= max(8, TEMPLATE_SHARE * (pages or 0)):
+                self.template.add(n.key)
+            elif n.pages >= max(8, NAV_SHARE * (pages or 0)) and n.short >= 0.9 * n.pages and n.tail >= 0.95 * n.pages:
+                self.behind.add(n.key)
             if n.short >= 0.9 * n.pages:
                 if n.titles >= 0.6 * n.pages:
                     self.boxes.add(n.key)
@@ -296,6 +305,7 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
     out = []
     started = False
     heads: list[int] = []
+    behind: list[int] = []
     for i, (x, t, k) in enumerate(zip(lines, texts, kinds)):
         got = "M"
         if k == "b":
@@ -325,9 +335,19 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
                     heads.append(i)
                 elif key in site.outside and not started and len(parts) == 1:
                     got = "F"
+        if got == "M" and len(t) <= LONG and (site.template or site.behind):
+            key = key_of(x)
+            if key in site.template:
+                got = "F"
+            elif key in site.behind:
+                behind.append(i)
         if got == "M" and (k in "po"):
             started = True
         out.append(got)
+    last = max((i for i, k in enumerate(kinds) if k == "p" and out[i] == "M"), default=-1)
+    for i in behind:
+        if i > last:
+            out[i] = "F"
     for h in heads:
         run = []
         for i in range(h + 1, min(len(lines), h + 1 + BOX_LINES)):
@@ -360,7 +380,7 @@ def _reader(common: Broadcast) -> Callable[[pa.RecordBatch], Iterator[tuple[str
             if name not in sites:
                 if len(sites) > 10_000:
                     sites.clear()
-                sites[name] = Site(b.column(3)[i].as_py(), b.column(4)[i].as_py(), common.value)
+                sites[name] = Site(b.column(3)[i].as_py(), b.column(4)[i].as_py(), common.value, b.column(5)[i].as_py())
             yield content, sites[name]
 
     return rows
@@ -373,8 +393,8 @@ class Modelled:
         texts = page_texts(pages)
         models = expressions(texts)
         self.common = pages.sparkSession.sparkContext.broadcast(common_words(texts))
-        #: (page_id, site, content, nodes, labels)
-        self.table = texts.join(measured_broadcast(models.select("site", "nodes", "labels"), 10_000), "site", "left").select("page_id", "site", "content", "nodes", "labels")
+        #: (page_id, site, content, nodes, labels, pages)
+        self.table = texts.join(measured_broadcast(models.select("site", "nodes", "labels", "pages"), 10_000), "site", "left").select("page_id", "site", "content", "nodes", "labels", "pages")
 
     def labelled(self, table: DataFrame | None = None) -> DataFrame:
         """(page_id, content, labels) of every page; see label_lines."""

@@ -162,6 +162,26 @@ def test_p4_alignment():
     assert [x.key for x in s] == [7, 8] and s[0].repeated == 1
 
 
+def wrapper_site(pages):
+    """The Site of one host from the lines of its pages, as the passes make it."""
+    keys = [[p4_main_body.key_of(x) for x in p] for p in pages]
+    kinds = ["".join(p4_main_body.kind(x, p4_main_body.plain(x)) for x in p) for p in pages]
+    tokens = {k for k in set(sum(keys, [])) if k and sum(k in x for x in keys) >= p4_main_body.TOKEN_PAGES}
+    nodes = []
+    for k, d in zip(keys, kinds):
+        nodes = p4_main_body.align(nodes, p4_main_body.stream(k, d, tokens))
+    return p4_main_body.Site(p4_main_body._dump(nodes), [], frozenset(), len(pages))
+
+
+def test_p4_wrapper_labels_furniture_of_any_wording():
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    text = [f"The clerk of ward {name(i)} read the entry aloud to the assembled members of the council." for i in range(80)]
+    pages = [["Biscuit settings apply to all our visitors here.", f"Matter {name(i)} of the week", text[i], "Spread the word", text[i + 1], "Posted 2025-01-01 by the Bank retail desk", *(["Our charter"] if i % 10 == 0 else []), "Made with care in Norvane"] for i in range(79)]
+    for p in pages:
+        got = p4_main_body.label_lines("\n".join(p), wrapper_site(pages))
+        assert got == "FMMFMY" + "F" * (len(p) - 6)
+
+
 def test_p7_residue(site):
     df, _ = site
     assert {r.page_id for r in p7_residue.found(df).collect()} == {100, 101, 102, 103}
