@@ -35,7 +35,8 @@ TEMPLATE_SHARE = 0.25  #: share of a site's pages from which a token is furnitur
 NAV_SHARE = 0.05  #: share of a site's pages on which a menu label stands
 MOST_NODES = 400  #: nodes of one expression; the rarest optional ones go first
 BOX_LINES = 8  #: lines that a side box has at most after its head
-SAMPLE, COMMON_SHARE = 2000, 0.16
+COMMON_SHARE = 0.16
+HELD_WORDS = 500_000  #: words that a task counts before it passes them on
 SAMPLE_CHARS = 50_000  #: longer texts are left out of samples that the driver reads, so that their size is bounded too
 MERGE = 64  #: partial expressions merged in one task
 
@@ -253,18 +254,28 @@ def _topical(text: str, common: frozenset[str]) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w not in _FRAME and w not in common]
 
 
-def common_words(texts: DataFrame) -> frozenset[str]:
-    """Words on more than COMMON_SHARE of a sample of about SAMPLE pages (bounded: it only serves to tell subjects apart)."""
-    n = texts.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    some = texts.filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_003)) < share * 1_000_003).filter(F.length("content") <= SAMPLE_CHARS).select("content").limit(2 * SAMPLE)
+def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, int] = {}
-    rows = 0
-    for r in some.toLocalIterator():
-        rows += 1
-        for w in set(_WORD.findall((r.content or "").lower())):
-            seen[w] = seen.get(w, 0) + 1
-    return frozenset(w for w, c in seen.items() if c > COMMON_SHARE * rows)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    for b in batches:
+        for content in b.column(0).to_pylist():
+            for w in set(_WORD.findall(content.lower())):
+                seen[w] = seen.get(w, 0) + 1
+            if len(seen) > HELD_WORDS:
+                yield out()
+                seen.clear()
+    yield out()
+
+
+def common_words(texts: DataFrame) -> frozenset[str]:
+    """Words on more than COMMON_SHARE of all pages (at most the mean number of words of a page / COMMON_SHARE)."""
+    some = texts.filter("content is not null").select("content")
+    counted = cut(some.mapInArrow(_page_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    least = COMMON_SHARE * some.count()
+    return frozenset(r.word for r in counted.filter(F.col("n") > least).toLocalIterator())
 
 
 class Site:

@@ -182,6 +182,14 @@ def test_p4_wrapper_labels_furniture_of_any_wording():
         assert got == "FMMFMY" + "F" * (len(p) - 6)
 
 
+def test_p4_common_words_count_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(p4_main_body, "HELD_WORDS", 50, raising=False)
+    words = {i: {f"own{chr(97 + i % 26)}", *(["rare"] if i % 25 < 4 else []), *(["often"] if i % 100 < 17 else [])} for i in range(6000)}
+    rows = [(i, " ".join(sorted(w)) + (" long" * 12_000 if i % 6 == 0 else "")) for i, w in words.items()]
+    got = p4_main_body.common_words(spark.createDataFrame([*rows, (6000, None)], "page_id bigint, content string"))
+    assert got == {"often", "long"}  # 17 % and a sixth of the pages; "rare" is on 16 %, "own" on less
+
+
 def test_p7_residue(site):
     df, _ = site
     assert {r.page_id for r in p7_residue.found(df).collect()} == {100, 101, 102, 103}
