@@ -34,7 +34,7 @@ TOKEN_PAGES, TOKEN_SHARE = 4, 0.01  #: a line on so many pages, and so large a s
 TEMPLATE_SHARE = 0.25  #: share of a site's pages from which a token is furniture in any place
 NAV_SHARE = 0.05  #: share of a site's pages on which a menu label stands
 MOST_NODES = 400  #: nodes of one expression; the rarest optional ones go first
-BOX_LINES = 8  #: lines that a side box has at most after its head
+BOX_NEAR = 8  #: lines behind a side box's head that do not tell the page's own subject; the box itself may be longer
 COMMON_SHARE = 0.16
 HELD_WORDS = 500_000  #: words that a task counts before it passes them on
 SAMPLE_CHARS = 50_000  #: longer texts are left out of samples that the driver reads, so that their size is bounded too
@@ -65,6 +65,7 @@ _SPACE = re.compile(r"\s+")
 _SEP = re.compile(r"\s*[>/|·,»]\s*|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d")
+_CELLS = re.compile(r"\s*[|;\t]\s*|,\s+|\s{2,}")
 _FRAME = frozenset("a about an and are as ask at be before by can choose costs documents does during ends for from how if in is it its limits need new news of on or questions step the this to use was what when which who why will with works you your".split())
 
 
@@ -105,6 +106,12 @@ def kind(line: str, text: str) -> str:
     return "o"
 
 
+def _is_row(line: str) -> bool:
+    """Whether the line is a row of a table or a list of words: figures in two cells of three or more, or five cells."""
+    cells = _CELLS.split(line.strip())
+    return len(cells) >= 5 or (len(cells) >= 3 and sum(_NUMBER.search(c) is not None for c in cells) >= 2)
+
+
 def labels_of(line: str) -> list[str]:
     """The labels of a menu line in lower case; a table row has figures and is none."""
     bare = _cut_tail(line.replace("\xa0", " ").lstrip(_BULLETS), _MARK)
@@ -361,11 +368,11 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
             out[i] = "F"
     for h in heads:
         run = []
-        for i in range(h + 1, min(len(lines), h + 1 + BOX_LINES)):
-            if out[i] != "M" or kinds[i] == "b":
+        for i in range(h + 1, len(lines)):
+            if out[i] != "M" or kinds[i] == "b" or _is_row(lines[i]):
                 break
             run.append(i)
-        inside = set(run)
+        inside = set(run[:BOX_NEAR])
         body = {w for i, k in enumerate(kinds) if k in "po" and out[i] == "M" and i not in inside for w in _topical(texts[i], site.common)}
         for n, i in enumerate(run):
             words = _topical(texts[i], site.common)

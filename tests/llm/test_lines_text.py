@@ -182,6 +182,15 @@ def test_p4_wrapper_labels_furniture_of_any_wording():
         assert got == "FMMFMY" + "F" * (len(p) - 6)
 
 
+def test_p4_side_box_of_any_length():
+    links = [f"How the {n} works" for n in ("zeppelin", "kayak", "oboe", "loom", "glacier", "comet", "anvil", "heron", "turbine", "lantern", "meadow", "saddle", "walnut", "harbour")]
+    body = prose_body(0)
+    got = p4_main_body.label_lines("\n".join([*body[:3], "Related products", *links]), p4_main_body.NO_SITE)
+    assert got == "MMM" + "F" * (len(links) + 1)
+    got = p4_main_body.label_lines("\n".join(["Related products", *links, *body[:3]]), p4_main_body.NO_SITE)
+    assert got == "F" * (len(links) + 1) + "MMM"
+
+
 def test_p4_common_words_count_all_pages(spark, monkeypatch):
     monkeypatch.setattr(p4_main_body, "HELD_WORDS", 50, raising=False)
     words = {i: {f"own{chr(97 + i % 26)}", *(["rare"] if i % 25 < 4 else []), *(["often"] if i % 100 < 17 else [])} for i in range(6000)}
