@@ -203,9 +203,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ks = "".join(kind(x, t) for x, t in zip(lines, texts))
             kinds.append(ks)
             seen: set[str] = set()
-            for i, x in enumerate(lines[:40]):  # menus stand before the text; labels are only looked for there
-                if ks[i] == "p" and not FURNITURE.match(texts[i]):
-                    break
+            for i, x in enumerate(lines):  # NAV_SHARE tells menus from lists of single pages
                 if ks[i] == "m" or (ks[i] == "t" and len(texts[i].split(" ")) <= 3):
                     seen.update(labels_of(x))
             labels.append(sorted(seen))

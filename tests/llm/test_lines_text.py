@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,15 @@ def test_p4_side_box_of_any_length():
     assert got == "F" * (len(links) + 1) + "MMM"
 
 
+def test_p4_menu_labels_from_the_whole_page():
+    menu = "Finance > Cards > Careers > Help"
+    pages = ["\n" * 50 + menu, "\n".join([*prose_body(1)[:3], "Mortgages | Savings | Branches"])]
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["h", "h"]), pa.array(pages)], ["page_id", "site", "content"])
+    labels = [x for (out,) in [tuple(p4_main_body._featurize(iter([b])))] for x in out.column(4).to_pylist()]
+    site = p4_main_body.Site(None, sum(labels, []))
+    assert p4_main_body.label_lines(pages[0], site) == "B" * 50 + "F" and p4_main_body.label_lines(pages[1], site) == "MMMF"
+
+
 def test_p4_common_words_count_all_pages(spark, monkeypatch):
     monkeypatch.setattr(p4_main_body, "HELD_WORDS", 50, raising=False)
     words = {i: {f"own{chr(97 + i % 26)}", *(["rare"] if i % 25 < 4 else []), *(["often"] if i % 100 < 17 else [])} for i in range(6000)}
