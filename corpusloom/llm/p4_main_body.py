@@ -33,7 +33,6 @@ from corpusloom.session import cut
 TOKEN_PAGES, TOKEN_SHARE = 4, 0.01  #: a line on so many pages, and so large a share of them, is a template token
 TEMPLATE_SHARE = 0.25  #: share of a site's pages from which a token is furniture in any place
 NAV_SHARE = 0.05  #: share of a site's pages on which a menu label stands
-MOST_NODES = 400  #: nodes of one expression; the rarest optional ones go first
 BOX_NEAR = 8  #: lines behind a side box's head that do not tell the page's own subject; the box itself may be longer
 COMMON_SHARE = 0.16
 HELD_WORDS = 500_000  #: words that a task counts before it passes them on
@@ -156,10 +155,7 @@ def align(left: list[Node], right: list[Node]) -> list[Node]:
         else:
             where[n.key] = n
             single.append(n)
-    if len(single) > MOST_NODES:
-        least = sorted((n.pages for n in single), reverse=True)[MOST_NODES]
-        single = [n for n in single if n.pages > least][:MOST_NODES]
-    return single
+    return single  # no more than the site's tokens, which TOKEN_SHARE bounds
 
 
 def stream(keys: list[int | None], kinds: str, tokens: set[int]) -> list[Node]:

@@ -209,6 +209,12 @@ def test_p4_common_words_count_all_pages(spark, monkeypatch):
     assert got == {"often", "long"}  # 17 % and a sixth of the pages; "rare" is on 16 %, "own" on less
 
 
+def test_p4_alignment_keeps_every_token():
+    n = lambda lo: [p4_main_body.Node(x, 1) for x in range(lo, lo + 300)]
+    e = p4_main_body.align(p4_main_body.align(n(0), n(150)), n(300))
+    assert sorted(x.key for x in e) == list(range(600)) and sum(x.pages for x in e) == 900
+
+
 def test_p7_residue(site):
     df, _ = site
     assert {r.page_id for r in p7_residue.found(df).collect()} == {100, 101, 102, 103}
