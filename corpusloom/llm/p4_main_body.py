@@ -106,9 +106,9 @@ def kind(line: str, text: str) -> str:
 
 
 def _is_row(line: str) -> bool:
-    """Whether the line is a row of a table or a list of words: figures in two cells of three or more, or five cells."""
+    """Whether the line is a row of a table: three cells or more, figures in at least two."""
     cells = _CELLS.split(line.strip())
-    return len(cells) >= 5 or (len(cells) >= 3 and sum(_NUMBER.search(c) is not None for c in cells) >= 2)
+    return len(cells) >= 3 and sum(_NUMBER.search(c) is not None for c in cells) >= 2
 
 
 def labels_of(line: str) -> list[str]:
@@ -363,9 +363,10 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
     for h in heads:
         run = []
         for i in range(h + 1, len(lines)):
-            if out[i] != "M" or kinds[i] == "b" or _is_row(lines[i]):
+            if out[i] != "M" or kinds[i] == "b":
                 break
-            run.append(i)
+            if not _is_row(lines[i]):  # rows of tables stay, the box goes on behind them
+                run.append(i)
         inside = set(run[:BOX_NEAR])
         body = {w for i, k in enumerate(kinds) if k in "po" and out[i] == "M" and i not in inside for w in _topical(texts[i], site.common)}
         for n, i in enumerate(run):

@@ -192,6 +192,12 @@ def test_p4_side_box_of_any_length():
     assert got == "F" * (len(links) + 1) + "MMM"
 
 
+def test_p4_side_box_goes_on_behind_rows_and_lists():
+    links = [f"How the {n} works" for n in ("zeppelin", "kayak", "oboe", "loom", "glacier", "comet")]
+    lines = ["Related products", *links[:3], "Cards | Loans | Savings | Branches | Careers", "May-22 | 84,296 | 16", *links[3:]]
+    assert p4_main_body.label_lines("\n".join(lines), p4_main_body.NO_SITE) == "FFFFFMFFF"
+
+
 def test_p4_menu_labels_from_the_whole_page():
     menu = "Finance > Cards > Careers > Help"
     pages = ["\n" * 50 + menu, "\n".join([*prose_body(1)[:3], "Mortgages | Savings | Branches"])]
