@@ -4,11 +4,13 @@ Method: signature trees. Every text has a token bitmap over its three-word shing
 their children's bitmaps, their size range and their largest count of tokens hidden by bit collisions. A dual traversal
 drops a pair of nodes when sizes or the largest possible overlap cannot reach the threshold. One tree over the whole
 collection would compare all pairs of leaves, so texts are first routed to shards: a shard holds the texts that share an
-eight-word window (windows are picked by their hash, so both texts of a pair pick the same ones). Trees of many shards
-are built and traversed together in numpy. Surviving pairs are checked on their exact shingle sets.
+eight-word window (windows are picked by their hash, so both texts of a pair pick the same ones). Only ids travel to the
+shards; shards that another one contains are dropped, and a bitmap is attached once for each text and shard that is left.
+Trees of many shards are built and traversed together in numpy. Surviving pairs are checked on their exact shingle sets.
 
-Skew: exact copies (equal shingle sets) are one class with a representative; the shards of windows shared by more than
-HOT texts are split into salted blocks that are joined block by block, so every text stays in the shards of all its windows.
+Skew: exact copies (equal shingle sets) are one class with a representative. Windows that heavy-hitter summaries find on
+very many texts are salted before they are grouped; a shard of more than SHARD texts is cut into blocks by size, and only
+blocks whose sizes can reach the threshold meet, so every text stays in the shards of all its windows.
 
 Defined results: null ids, null and short texts (fewer than MIN_WORDS words) take part in no pair; repeated ids count
 once; identical texts are pairs with similarity 1.
@@ -24,16 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import distinct_in, windows, word_hashes
-from corpusloom.operators.keys import measured_broadcast
+from corpusloom.operators.keys import measured_broadcast, one_per_key
 from corpusloom.session import cut
 
 MIN_WORDS, SHINGLE, THRESHOLD = 50, 3, 0.6
 ROUTE, ROUTE_LEAST = 8, 24  #: words of a routing window; windows that every text keeps at least
 BITS = 1024
 FAN = 8
-HOT, BLOCK = 256, 1024
-FULL = 16  #: classes of up to so many copies are written out pair by pair; larger ones as links to their representative
+SHARD = 4096  #: texts of a shard; larger ones are cut into blocks of half the size
+HEAVY = 8 * SHARD  #: texts on a window from which it is salted before it is grouped
+COUNTERS = 1 << 16  #: counters of a heavy-hitter summary
+FULL = 64  #: classes of up to so many copies are written out pair by pair; larger ones as links to their representative
 SLICE = 1 << 17
+LEAST = 8  #: a summary keeps smaller counts to itself
+HELD = 1 << 17  #: rows that a task holds before it works on them
 
 
 # --- texts to sizes, windows and bitmaps ---------------------------------------------------------------------------
@@ -135,100 +141,189 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.nd
 
 
 def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (src, shard, side, id, n, sig) sorted by src and shard; a shard is bounded (HOT texts, or two blocks)."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+    """Rows (shard, side, src, id, n, sig) sorted by shard to the pairs (src, a, b) that each shard's tree leaves."""
 
     def join(t: pa.Table) -> pa.RecordBatch:
-        src, shard, side, ids, n = (t.column(i).to_numpy() for i in range(5))
+        shard, side, src, ids, n = (t.column(i).to_numpy() for i in range(5))
         sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(n), BITS // 64)
-        new = np.r_[True, (shard[1:] != shard[:-1]) | (src[1:] != src[:-1])]
-        group = np.cumsum(new)
-        o = np.lexsort((n, group))
-        group, src, side, ids, n, sig = group[o], src[o], side[o], ids[o], n[o].astype(np.int64), sig[o]
+        o = np.lexsort((n, shard))
+        shard, side, src, ids, n, sig = shard[o], side[o], src[o], ids[o], n[o].astype(np.int64), sig[o]
         cross = np.where(side < 0, -1 - np.arange(len(side)), side)  # inside one block every text is its own side
-        a, b = tree_pairs(group, n, sig, cross)
+        a, b = tree_pairs(shard, n, sig, cross)
         lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         p = np.unique(np.stack([src[a].astype(np.int64), lo, hi], axis=1), axis=0) if len(a) else np.empty((0, 3), np.int64)
-        p = p[p[:, 1] != p[:, 2]]
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int32()), pa.array(p[:, 1]), pa.array(p[:, 2])], ["src", "a", "b"])
 
+    for t in _whole_groups(batches, HELD // 4):
+        yield join(t)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], held_rows: int = HELD) -> Iterator[pa.Table]:
+    """Tables of about held_rows rows in which no value of the first column, by which rows are sorted, is cut."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         rows += b.num_rows
-        if rows >= 30_000:
+        if rows >= held_rows:
             t = pa.Table.from_batches(held)
-            src, shard = t.column(0).to_numpy(), t.column(1).to_numpy()
-            last = np.flatnonzero((shard != shard[-1]) | (src != src[-1]))
+            key = t.column(0).to_numpy()
+            last = np.flatnonzero(key != key[-1])
             if len(last):
                 end = int(last[-1]) + 1
-                yield join(t.slice(0, end))
+                yield t.slice(0, end)
                 rest = t.slice(end).combine_chunks()
                 held, rows = rest.to_batches(), rest.num_rows
     if held:
-        yield join(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+# --- shards --------------------------------------------------------------------------------------------------------
+
+
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): heavy-hitter counters of a partition's windows, too low by a bounded amount; small ones stay here."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        more, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        if len(keys) > 2 * COUNTERS:
+            counts -= np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
+            keys, counts = keys[counts > 0], counts[counts > 0]
+    ok = counts >= LEAST
+    yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(counts[ok])], ["key", "n"])
+
+
+def _blocks(src: int, ids: np.ndarray, n: np.ndarray, half: int) -> list[tuple[int, list[int], int]]:
+    """A large shard as pairs of blocks (src, ids, how many of them belong to the first block; 0 where it is one)."""
+    o = np.lexsort((ids, n))
+    parts = [o[i : i + half] for i in range(0, len(o), half)]
+    out = []
+    for i, x in enumerate(parts):
+        out.append((src, np.sort(ids[x]).tolist(), 0))
+        out += [(src, ids[np.r_[x, y]].tolist(), len(x)) for y in parts[i + 1 :] if n[x[-1]] >= THRESHOLD * n[y[0]]]
+    return out
+
+
+def _group_windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, src, id, n) sorted by key to shards (src, ids, first) of two texts or more."""
+    names = ["src", "ids", "first"]
+    for t in _whole_groups(batches):
+        key, side, src, ids, n = (t.column(i).to_numpy() for i in range(5))
+        o = np.lexsort((ids, side, key))
+        key, side, src, ids, n = key[o], side[o], src[o], ids[o], n[o]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        c = np.diff(np.r_[at, len(key)])
+        plain = side[at] < 0
+        small = plain & (c > 1) & (c <= most)
+        rows = np.repeat(small, c)
+        offs = np.r_[0, np.cumsum(c[small])].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(src[at[small]], pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(ids[rows])), pa.array(np.zeros(small.sum(), np.int32))], names)
+        for g in np.flatnonzero((c > 1) & ~small):
+            r = slice(at[g], at[g] + c[g])
+            if plain[g]:
+                rest = _blocks(int(src[at[g]]), ids[r], n[r], max(1, most // 2))
+            else:  # two salts of a heavy window
+                first = int((side[r] == side[at[g]]).sum())
+                rest = [(int(src[at[g]]), ids[r].tolist(), first)] if first < c[g] else []
+            for x in rest:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([x[1]], pa.list_(pa.int64())), pa.array([x[2]], pa.int32())], names)
+
+
+def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (least, src, ids, first) sorted by their least id: shards that another one with the same least id contains go.
+
+    A text has a bounded number of windows, and so of shards of which it is the least.
+    """
+    for t in _whole_groups(batches, HELD // 16):
+        least, src, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (least[i], src[i], -len(ids[i])))
+        kept: list[int] = []
+        sets: list[set[int]] = []
+        now = None
+        for i in order:
+            if now != (least[i], src[i]):
+                now, sets = (least[i], src[i]), []
+            mine = set(ids[i])
+            if not any(mine <= s for s in sets):
+                sets.append(mine)
+                kept.append(i)
+        yield from pa.table({"src": t.column(1), "ids": t.column(2), "first": t.column(3)}).take(pa.array(kept, pa.int64())).to_batches()
+
+
+def shards(reps: DataFrame) -> DataFrame:
+    """(src, ids, first): the texts that share a window; with first > 0 only pairs of one of the first ids and a later one count."""
+    most, heavy_from = SHARD, HEAVY
+    rows = reps.select(F.explode("wins").alias("win"), "src", "id", "n").select(F.xxhash64("src", "win").alias("key"), F.lit(-1).alias("side"), "src", "id", "n")
+    heavy = rows.select("key").mapInArrow(_heavy, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > heavy_from)
+    heavy = cut(heavy.select("key", F.ceil(F.col("n") / max(1, heavy_from // 2)).cast("int").alias("salts")))
+    if heavy.count():
+        hint = measured_broadcast(heavy)
+        salted = rows.drop("side").join(hint, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+        salted = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        same = F.col("mine") == F.col("other")
+        salted = salted.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), F.when(same, F.lit(-1)).otherwise(F.col("mine")).alias("side"), "src", "id", "n")
+        rows = rows.join(hint, "key", "left_anti").select("key", "side", "src", "id", "n").unionByName(salted)
+    grouped = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _group_windows(it, most), "src int, ids array<bigint>, first int")
+    grouped = cut(grouped)
+    one = grouped.filter("first = 0").select(F.col("ids")[0].alias("least"), "src", "ids", "first")
+    largest = one.repartition("least", "src").sortWithinPartitions("least").mapInArrow(_largest, "src int, ids array<bigint>, first int")
+    return grouped.filter("first > 0").unionByName(largest)
 
 
 def candidates(reps: DataFrame) -> DataFrame:
     """(src, a, b), a < b: the pairs of representatives that their shards' trees leave."""
-    rows = reps.select("src", F.explode("wins").alias("win"))
-    shared = cut(rows.groupBy("src", "win").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    cold, hot = shared.filter(F.col("c") <= HOT), cut(shared.filter(F.col("c") > HOT))
-    each = reps.select("src", "id", "n", "sig", F.explode("wins").alias("win"))
-    cold_rows = each.join(measured_broadcast(cold.select("src", "win")), ["src", "win"])
-    out = cold_rows.select("src", F.col("win").alias("shard"), F.lit(-1).alias("side"), "id", "n", "sig")
-    if hot.count():
-        hot_b = measured_broadcast(hot)
-        hot_rows = each.join(hot_b, ["src", "win"])
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        salted = hot_rows.withColumn("k", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        shard = F.xxhash64("win", F.least("mine", "other"), F.greatest("mine", "other"))
-        side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.col("mine"))
-        out = out.unionByName(salted.select("src", shard.alias("shard"), side.alias("side"), "id", "n", "sig"))
-    sorted_ = out.repartition("src", "shard").sortWithinPartitions("src", "shard")
+    each = cut(shards(reps).withColumn("shard", F.monotonically_increasing_id()))
+    each = each.select("shard", "src", "first", F.posexplode("ids").alias("at", "id"))
+    side = F.when(F.col("first") == 0, F.lit(-1)).otherwise((F.col("at") >= F.col("first")).cast("int"))
+    rows = each.select("shard", side.alias("side"), "src", "id").join(reps.select("src", "id", "n", "sig"), ["src", "id"]).select("shard", "side", "src", "id", "n", "sig")
+    sorted_ = rows.repartition("shard").sortWithinPartitions("shard")
     return sorted_.mapInArrow(_join_shards, "src int, a bigint, b bigint").distinct()
 
 
 # --- exact check, classes ------------------------------------------------------------------------------------------
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (src, a, b, text of a, text of b) to (src, a, b, similarity)."""
     for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            b = whole.slice(lo, 2000)
-            _, n, _, sh, doc = _shapes(b.column(2).to_pylist(), SHINGLE, MIN_WORDS)
-            offs = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(sh.view(np.int64)))], ["src", "id", "sh"])
+        for lo in range(0, whole.num_rows, 500):
+            p = whole.slice(lo, 500)
+            k = p.num_rows
+            _, _, _, sh, doc = _shapes(p.column(3).to_pylist() + p.column(4).to_pylist(), SHINGLE, MIN_WORDS)
+            size = np.bincount(doc, minlength=2 * k)
+            pair = doc % k
+            o = np.lexsort((sh, pair))
+            sh, pair = sh[o], pair[o]
+            both = np.bincount(pair[1:][(sh[1:] == sh[:-1]) & (pair[1:] == pair[:-1])], minlength=k)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(both / np.maximum(1, size[:k] + size[k:] - both))], ["src", "a", "b", "similarity"])
 
 
 class NearCopies:
-    """The classes of equal texts and the links between their representatives; both are written tables."""
+    """The classes of equal texts and the links between their representatives; both are written tables.
+
+    texts (src int, id bigint, text and, where rows are delivered again, at) counts every src and id once, by its latest `at`.
+    """
 
     def __init__(self, texts: DataFrame, threshold: float = THRESHOLD) -> None:
+        texts = one_per_key(texts.select("src", "id", "text", *(["at"] if "at" in texts.columns else [])), ["src", "id"], "at" if "at" in texts.columns else None)
         docs = cut(describe(texts))
-        ids = docs.select("src", "id", "c1", "c2", "n").distinct()
+        ids = docs.select("src", "id", "c1", "c2", "n")
         classes = ids.groupBy("src", "c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
         several = cut(classes.filter("k > 1"))
         #: (src, rep, id, k): the members of classes of more than one text
         self.members = cut(ids.join(measured_broadcast(several), ["src", "c1", "c2", "n"]).select("src", "rep", "id", "k"))
         copies = self.members.filter("id <> rep").select("src", "id")
-        reps = docs.join(measured_broadcast(copies), ["src", "id"], "left_anti")
-        repeated = cut(docs.groupBy("src", "id").count().filter("count > 1").select("src", "id"))
-        if repeated.count():  # re-delivered rows: one of each
-            hint = measured_broadcast(repeated)
-            one = reps.join(hint, ["src", "id"], "left_semi").groupBy("src", "id").agg(F.min(F.struct("n", "wins", "sig")).alias("m"))
-            reps = reps.join(hint, ["src", "id"], "left_anti").select("src", "id", "n", "wins", "sig").unionByName(one.select("src", "id", "m.n", "m.wins", "m.sig"))
-        pairs = cut(candidates(reps.select("src", "id", "n", "wins", "sig")))
+        reps = docs.join(measured_broadcast(copies), ["src", "id"], "left_anti").select("src", "id", "n", "wins", "sig")
+        pairs = cut(candidates(reps))
         wanted = cut(pairs.select("src", F.col("a").alias("id")).union(pairs.select("src", F.col("b").alias("id"))).distinct())
-        sets = texts.filter("id is not null and text is not null").select("src", "id", "text").join(measured_broadcast(wanted), ["src", "id"], "left_semi")
-        sets = sets.mapInArrow(_sets, "src int, id bigint, sh array<bigint>").groupBy("src", "id").agg(F.min("sh").alias("sh"))
-        both = pairs.join(sets.select("src", F.col("id").alias("a"), F.col("sh").alias("x")), ["src", "a"]).join(sets.select("src", F.col("id").alias("b"), F.col("sh").alias("y")), ["src", "b"])
-        # in the JVM, row by row: batches of whole sets would take much memory outside it
-        both = both.withColumn("o", F.size(F.array_intersect("x", "y")))
-        checked = both.select("src", "a", "b", (F.col("o") / (F.size("x") + F.size("y") - F.col("o"))).alias("similarity"))
+        some = texts.select("src", "id", "text").join(measured_broadcast(wanted), ["src", "id"], "left_semi")
+        # texts travel in place of sets, which take more room
+        both = pairs.join(some.select("src", F.col("id").alias("a"), F.col("text").alias("x")), ["src", "a"]).join(some.select("src", F.col("id").alias("b"), F.col("text").alias("y")), ["src", "b"])
+        checked = both.select("src", "a", "b", "x", "y").mapInArrow(_similar, "src int, a bigint, b bigint, similarity double")
         #: (src, a, b, similarity): links between representatives
         self.links = cut(checked.filter(F.col("similarity") >= threshold - 1e-12))
         self.ids = ids.select("src", "id")
@@ -284,9 +379,9 @@ SOURCES = ("scraped_pages", "doc_records")
 
 
 def texts(pages: DataFrame, records: DataFrame) -> DataFrame:
-    """Both tables as (src, id, text)."""
-    return pages.select(F.lit(0).alias("src"), F.col("page_id").alias("id"), F.col("content").alias("text")).unionByName(
-        records.select(F.lit(1).alias("src"), F.col("row_id").alias("id"), "text"))
+    """Both tables as (src, id, text, at)."""
+    return pages.select(F.lit(0).alias("src"), F.col("page_id").alias("id"), F.col("content").alias("text"), F.col("loaded_at").alias("at")).unionByName(
+        records.select(F.lit(1).alias("src"), F.col("row_id").alias("id"), "text", F.lit(None).cast("timestamp").alias("at")))
 
 
 def _name(src: Column) -> Column:

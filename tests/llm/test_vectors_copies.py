@@ -138,15 +138,23 @@ def test_groups_equal_closure(texts):
 
 def test_hot_windows_lose_nothing(texts, monkeypatch):
     df, rows = texts
-    monkeypatch.setattr(p3_near_copies, "HOT", 2)
-    monkeypatch.setattr(p3_near_copies, "BLOCK", 2)
+    monkeypatch.setattr(p3_near_copies, "SHARD", 2)
     got = {tuple(r) for r in p3_near_copies.NearCopies(df).pairs().collect()}
     assert brute_pairs([r for r in rows if r[0] == 0]) <= got
 
 
+def test_heavy_windows_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(p3_near_copies, "HEAVY", 8)
+    rng = random.Random(8)
+    core = [f"c{i}" for i in range(60)]
+    rows = [(0, i, " ".join(core + [f"x{rng.randrange(9)}" for _ in range(12)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "src int, id bigint, text string").coalesce(1)
+    got = {tuple(r) for r in p3_near_copies.NearCopies(df).pairs().collect()}
+    assert got == brute_pairs(rows) and len(got) > 1000
+
+
 def test_texts_with_few_hot_windows_keep_them(spark, monkeypatch):
-    monkeypatch.setattr(p3_near_copies, "HOT", 2)
-    monkeypatch.setattr(p3_near_copies, "BLOCK", 3)
+    monkeypatch.setattr(p3_near_copies, "SHARD", 3)
     rng = random.Random(2)
     rows = []
     for g in range(6):  # moved sentences: of 9 words only two windows of 8 survive, 22 %
