@@ -288,18 +288,41 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (src, a, b, text of a, text of b) to (src, a, b, similarity)."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            p = whole.slice(lo, 500)
-            k = p.num_rows
-            _, _, _, sh, doc = _shapes(p.column(3).to_pylist() + p.column(4).to_pylist(), SHINGLE, MIN_WORDS)
-            size = np.bincount(doc, minlength=2 * k)
-            pair = doc % k
-            o = np.lexsort((sh, pair))
-            sh, pair = sh[o], pair[o]
-            both = np.bincount(pair[1:][(sh[1:] == sh[:-1]) & (pair[1:] == pair[:-1])], minlength=k)
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(both / np.maximum(1, size[:k] + size[k:] - both))], ["src", "a", "b", "similarity"])
+    """Rows (cluster, src, a, b, text) sorted by cluster, texts (b null) and pairs, to (src, a, b, similarity); a text is cut into shingles once."""
+    for t in _whole_groups(batches, 4000):
+        is_text = np.asarray(t.column(3).is_null())
+        cluster, src, a = (t.column(i).to_numpy() for i in range(3))
+        rows = t.filter(pa.array(is_text))
+        _, n, _, sh, doc = _shapes(rows.column(4).to_pylist(), SHINGLE, MIN_WORDS)
+        code = np.unique(sh, return_inverse=True)[1]
+        edge = np.searchsorted(doc, np.arange(len(n) + 1))
+        place = {k: i for i, k in enumerate(zip(cluster[is_text].tolist(), src[is_text].tolist(), a[is_text].tolist()))}
+        pairs = t.filter(pa.array(~is_text))
+        seen = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+        marked, size, out = None, 0, []
+        for c, s, x, y in sorted(zip(*(pairs.column(i).to_pylist() for i in range(4)))):
+            i, j = place[c, s, x], place[c, s, y]
+            if marked != i:
+                if marked is not None:
+                    seen[mine] = False
+                mine = code[edge[i] : edge[i + 1]]
+                seen[mine] = True
+                marked, size = i, len(mine)
+            other = code[edge[j] : edge[j + 1]]
+            both = int(np.count_nonzero(seen[other]))
+            out.append((s, x, y, both / max(1, size + len(other) - both)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], ty) for k, ty in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64()))], ["src", "a", "b", "similarity"])
+
+
+def clustered(pairs: DataFrame) -> DataFrame:
+    """(cluster, src, a, b): the pairs with a cluster that most pairs of the same texts share; one of very many pairs is salted."""
+    ends = pairs.select("src", F.col("a").alias("id"), F.col("b").alias("o")).union(pairs.select("src", "b", "a"))
+    least = cut(ends.groupBy("src", "id").agg(F.least(F.min("o"), F.col("id")).alias("m")))
+    ma, mb = least.select("src", F.col("id").alias("a"), F.col("m").alias("x")), least.select("src", F.col("id").alias("b"), F.col("m").alias("y"))
+    named = cut(pairs.join(ma, ["src", "a"]).join(mb, ["src", "b"]).select("src", "a", "b", F.least("x", "y").alias("m")))
+    large = cut(named.groupBy("src", "m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHARD))
+    salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("c") / SHARD), F.lit(1)))
+    return named.join(measured_broadcast(large), ["src", "m"], "left").select(F.xxhash64("src", "m", salt).alias("cluster"), "src", "a", "b")
 
 
 class NearCopies:
@@ -321,9 +344,12 @@ class NearCopies:
         pairs = cut(candidates(reps))
         wanted = cut(pairs.select("src", F.col("a").alias("id")).union(pairs.select("src", F.col("b").alias("id"))).distinct())
         some = texts.select("src", "id", "text").join(measured_broadcast(wanted), ["src", "id"], "left_semi")
-        # texts travel in place of sets, which take more room
-        both = pairs.join(some.select("src", F.col("id").alias("a"), F.col("text").alias("x")), ["src", "a"]).join(some.select("src", F.col("id").alias("b"), F.col("text").alias("y")), ["src", "b"])
-        checked = both.select("src", "a", "b", "x", "y").mapInArrow(_similar, "src int, a bigint, b bigint, similarity double")
+        # a text goes once to each of its clusters; texts take less room than sets
+        named = cut(clustered(pairs))
+        places = named.select("cluster", "src", F.col("a").alias("id")).union(named.select("cluster", "src", "b")).distinct()
+        rows = places.join(some, ["src", "id"]).select("cluster", "src", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+        rows = rows.unionByName(named.withColumn("text", F.lit(None).cast("string")).select("cluster", "src", "a", "b", "text"))
+        checked = rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_similar, "src int, a bigint, b bigint, similarity double")
         #: (src, a, b, similarity): links between representatives
         self.links = cut(checked.filter(F.col("similarity") >= threshold - 1e-12))
         self.ids = ids.select("src", "id")
