@@ -1,12 +1,14 @@
 """Problem 4: the main body of each page, without the furniture around and inside it.
 
-Method: union-free wrapper inference on line streams. Lines that recur on a site are its template tokens, every other line
-is a text slot. The streams of a site's pages are aligned one after the other into one expression without unions: tokens
-missing on some pages become optional, tokens that follow themselves become repeated, runs of other lines become slots.
-Partial expressions are merged by the same alignment, so pages of a site never meet in one task. The expression tells
-where each token stands relative to the running text: a token on a good share of a site's pages is furniture wherever it
-stands, a rarer short one where it always stands behind the text. A small grammar of furniture lines labels what recurs on
-too few pages, and spares bylines, legal notices and remarks.
+Method: union-free wrapper inference on line streams. What recurs on a site is a template token: a whole line, the label of
+a menu, or the head of a line that goes on with a text slot ("Read also: ..."); every other line is a text slot. The streams
+of a site's pages are aligned one after the other into one expression without unions: tokens missing on some pages become
+optional, tokens that follow themselves become repeated, runs of other lines become slots. Partial expressions are merged
+by the same alignment, so pages of a site never meet in one task. The expression tells on how many pages each token stands
+and where relative to the running text: a line on a good share of a site's pages is furniture wherever it stands, a rarer
+short one where it always stands on one side of the text, a list of known labels is a menu, and a known head makes its line
+furniture. A small grammar of common web furniture labels what recurs on too few pages, and spares bylines, legal notices
+and remarks.
 
 Defined results: null ids go, a repeated page_id counts once (latest delivery); null and empty content has no lines; a
 page without host is labelled by the grammar alone; blank lines are never furniture.
@@ -14,7 +16,6 @@ page without host is labelled by the grammar alone; blank lines are never furnit
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -30,29 +31,32 @@ from corpusloom.llm import p1_site_lines
 from corpusloom.operators.keys import measured_broadcast, one_per_key
 from corpusloom.session import cut
 
-TOKEN_PAGES, TOKEN_SHARE = 4, 0.01  #: a line on so many pages, and so large a share of them, is a template token
+TOKEN_PAGES, TOKEN_SHARE = 3, 0.01  #: a line on so many pages, and so large a share of them, is a template token
 TEMPLATE_SHARE = 0.25  #: share of a site's pages from which a token is furniture in any place
 NAV_SHARE = 0.05  #: share of a site's pages on which a menu label stands
+SLOT_SHARE = 0.02  #: share of a site's pages on which the head of a line with a text slot stands
 BOX_NEAR = 8  #: lines behind a side box's head that do not tell the page's own subject; the box itself may be longer
 COMMON_SHARE = 0.16
 HELD_WORDS = 500_000  #: words that a task counts before it passes them on
-SAMPLE_CHARS = 50_000  #: longer texts are left out of samples that the driver reads, so that their size is bounded too
+BROADCAST_CHARS = 32_000_000  #: characters of all expressions up to which they are broadcast
+HELD_SITES = 10_000  #: sites that a task keeps at once
 MERGE = 64  #: partial expressions merged in one task
 
-# Wordings by which furniture, bylines, legal notices and short remarks are known.
+# Common wordings of web furniture, and of bylines, legal notices and short remarks.
 FURNITURE = re.compile(
     r"^(?:(?:©|\(c\)|copyright)\s*\d{4}|.*\ball rights reserved\b|back to (?:the )?top\b|(?:skip|jump) to\b|subscribe\b.*newsletter|newsletter\b|"
-    r"get the .{2,40} app$|download our app|follow (?:us\b|.{2,40}$)|helpline [\d\- ]{6,}|head office: |version [\d.]+$|page built in |"
-    r"privacy\b.*\bterms of use|terms of use\b.*\bprivacy|.* is supervised by |.*\b(?:we use|uses|accept) cookies\b|this site stores small files|"
-    r"your privacy matters\b|.*\bplace analytics tags\b|(?:accept all|reject all|manage choices|only necessary|allow everything|got it|ok, got it)\b.{0,60}$|"
-    r"if this page helped you|like it\? |share this (?:page|article|story)|send to a (?:colleague|friend)|found this useful\?|share on |print this page|"
-    r"tags: |filed under: |topics: |previous: .*next: |(?:previous|next): |page \d+ of \d+|"
-    r"(?:advertisement|sponsored|promoted)\s*[:\-–] ?\S|"
+    r"(?:download|get) (?:our|the) (?:\S+ ){0,3}app$|follow us\b|privacy\b.*\bterms of use|terms of use\b.*\bprivacy|.*\b(?:we use|uses|accept) cookies\b|"
+    r"(?:accept|reject|allow) (?:all|everything)\b.{0,60}$|share (?:this|on)\b|(?:e-?mail|print) this page|"
+    r"(?:tags|filed under|topics): |previous: .*next: |(?:previous|next): |page \d+ of \d+|(?:advertisement|sponsored|promoted)\s*[:\-–] ?\S|"
     r"(?:read also|see also|see more|don.t miss|more on this|related)\s*[:\-–] ?\S|home\s*[>»/›|]\s*\S)", re.I)
 LINK = re.compile(r"^\s*>>\s*\S")
 BOX_HEAD = re.compile(r"^(?:related (?:products|pages|articles|links)|most (?:read|viewed)(?: this week| today)?|in this section|you may also like|popular pages|quick links|recommended(?: for you)?|also of interest)$", re.I)
 BYLINE = re.compile(r"^(?:posted [\d./\-]{8,10} by |published [\d./\-]{8,10}|last reviewed on |written (?:for|by) .*(?:min read|\d)|by the .{2,60}\|\s*[\d./\-]{8,10}|by [A-Z][^.]{2,40}\|)", re.I)
-LEGAL = re.compile(r"(?:may change or withdraw this service|is legal or tax advice|are for guidance only|are no promise of later|^terms, eligibility and charges|^complaints about this product reach|terms and conditions apply\W*$)", re.I)
+LEGAL = re.compile(
+    r"\b(?:legal|tax|financial|investment) (?:or (?:legal|tax|financial) )?advice\b|\bfor (?:guidance|information|illustration)\b.*\bonly\b|"
+    r"\b(?:no|not a) (?:promise|guarantee|indication) of (?:later|future)\b|\b(?:may|reserves? the right to) (?:change|amend|alter|withdraw)\b|"
+    r"^terms(?:,| and) .*|^complaints? about\b|\bterms and conditions apply\W*$|\b(?:subject to|without) (?:prior )?(?:change|notice)\b|"
+    r"\bdoes not constitute\b|\bpast performance\b|\baccepts? no liability\b|\bno liability is accepted\b", re.I)
 REMARKS = frozenset(["new", "see the schedule of charges", "call the helpline for details", "download the form", "apply online", "not available on public holidays", "source internal data", "terms and conditions apply", "visit your nearest branch today", "read the full story below"])
 
 _BULLETS = " \t\r\n\x0b\x0c-*•·»>–—"
@@ -64,6 +68,7 @@ _SPACE = re.compile(r"\s+")
 _SEP = re.compile(r"\s*[>/|·,»]\s*|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _NUMBER = re.compile(r"\d")
+_HEAD = re.compile(r"([^:>»›|/]{2,30}?)(?:\s*[:>»›|/]|\s+[\-–])\s*\S")
 _CELLS = re.compile(r"\s*[|;\t]\s*|,\s+|\s{2,}")
 _FRAME = frozenset("a about an and are as ask at be before by can choose costs documents does during ends for from how if in is it its limits need new news of on or questions step the this to use was what when which who why will with works you your".split())
 
@@ -111,6 +116,18 @@ def _is_row(line: str) -> bool:
     return len(cells) >= 3 and sum(_NUMBER.search(c) is not None for c in cells) >= 2
 
 
+def head_of(text: str) -> str | None:
+    """The letters of a line's head, before the mark behind which its slot begins; null without one."""
+    m = _HEAD.match(text)
+    if m is None or len(m[1].split(" ")) > 4 or _NUMBER.search(m[1]):
+        return None
+    return _NO_LETTER.sub("", m[1].lower()) or None
+
+
+def _hash(kind_: str, text: str) -> int:
+    return xxhash.xxh64_intdigest((kind_ + text).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def labels_of(line: str) -> list[str]:
     """The labels of a menu line in lower case; a table row has figures and is none."""
     bare = _cut_tail(line.replace("\xa0", " ").lstrip(_BULLETS), _MARK)
@@ -123,16 +140,19 @@ def labels_of(line: str) -> list[str]:
 # --- expressions ---------------------------------------------------------------------------------------------------
 
 
+LINE, LABEL, SLOT = 0, 1, 2
+
+
 class Node:
-    """One template token: on how many pages, where, whether repeated, how often followed by titles."""
+    """One template token: on how many pages, where, whether repeated, how often followed by titles or beside lines with heads; what is 0 for a line, 1 for a label, 2 for a head with a slot."""
 
-    __slots__ = ("key", "pages", "head", "tail", "mid", "repeated", "titles", "short")
+    __slots__ = ("key", "what", "pages", "head", "tail", "mid", "repeated", "titles", "short", "listed")
 
-    def __init__(self, key: int, pages: int = 0, head: int = 0, tail: int = 0, mid: int = 0, repeated: int = 0, titles: int = 0, short: int = 0) -> None:
-        self.key, self.pages, self.head, self.tail, self.mid, self.repeated, self.titles, self.short = key, pages, head, tail, mid, repeated, titles, short
+    def __init__(self, key: int, what: int = LINE, pages: int = 0, head: int = 0, tail: int = 0, mid: int = 0, repeated: int = 0, titles: int = 0, short: int = 0, listed: int = 0) -> None:
+        self.key, self.what, self.pages, self.head, self.tail, self.mid, self.repeated, self.titles, self.short, self.listed = key, what, pages, head, tail, mid, repeated, titles, short, listed
 
     def add(self, o: Node) -> None:
-        for f in Node.__slots__[1:]:
+        for f in Node.__slots__[2:]:
             setattr(self, f, getattr(self, f) + getattr(o, f))
 
 
@@ -158,22 +178,41 @@ def align(left: list[Node], right: list[Node]) -> list[Node]:
     return single  # no more than the site's tokens, which TOKEN_SHARE bounds
 
 
-def stream(keys: list[int | None], kinds: str, tokens: set[int]) -> list[Node]:
+def tokens_of(lines: list[str], texts: list[str], kinds: str) -> list[tuple[int, int, int]]:
+    """(key, line, what) of everything on a page that may be a template token: lines, menu labels, heads of lines with a slot."""
+    out = []
+    for i, (x, t, k) in enumerate(zip(lines, texts, kinds)):
+        if k == "b":
+            continue
+        key = key_of(x)
+        if key is not None:
+            out.append((key, i, LINE))
+        if k == "m" or (k == "t" and t.count(" ") < 3):  # NAV_SHARE tells menus from lists of single pages
+            out += [(_hash("label ", l), i, LABEL) for l in labels_of(x)]
+        if len(t) <= LONG and (h := head_of(t)) and not _is_row(x):
+            out.append((_hash("head ", h), i, SLOT))
+    return out
+
+
+def stream(found_: list[tuple[int, int, int]], kinds: str, tokens: set[int]) -> list[Node]:
     """The page's template tokens, with their place relative to its running text."""
-    prose = [i for i, k in enumerate(kinds) if k == "p" and keys[i] not in tokens]
+    known = {i for k, i, what in found_ if what == LINE and k in tokens}
+    headed = {i for _, i, what in found_ if what == SLOT}
+    prose = [i for i, k in enumerate(kinds) if k == "p" and i not in known]
     first, last = (prose[0], prose[-1]) if prose else (len(kinds), -1)
     out: list[Node] = []
     seen: dict[int, Node] = {}
-    for i, k in enumerate(keys):
-        if k is None or k not in tokens:
+    for k, i, what in found_:
+        if k not in tokens:
             continue
         if k in seen:
             seen[k].repeated = 1
             continue
-        n = seen[k] = Node(k, 1)
+        n = seen[k] = Node(k, what, 1)
         n.head, n.tail, n.mid = int(i < first), int(i >= first and i > last), int(first <= i <= last)
         n.titles = int(kinds[i + 1 : i + 3] == "tt")
         n.short = int(kinds[i] != "p")
+        n.listed = int(i - 1 in headed or i + 1 in headed)
         out.append(n)
     return out
 
@@ -189,21 +228,24 @@ def _load(text: str) -> list[Node]:
 # --- passes --------------------------------------------------------------------------------------------------------
 
 
+def parse(content: str | None) -> tuple[list[str], list[str], str]:
+    """(lines, their plain texts, a letter for the kind of each)."""
+    lines = content.split("\n") if content else []
+    texts = [plain(x) for x in lines]
+    return lines, texts, "".join(kind(x, t) for x, t in zip(lines, texts))
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, kinds, labels = [], [], []
+        keys, at, what, kinds = [], [], [], []
         for content in b.column(2).to_pylist():
-            lines = content.split("\n") if content else []
-            texts = [plain(x) for x in lines]
-            keys.append([key_of(x) for x in lines])
-            ks = "".join(kind(x, t) for x, t in zip(lines, texts))
+            lines, texts, ks = parse(content)
+            got = tokens_of(lines, texts, ks)
+            keys.append([g[0] for g in got])
+            at.append([g[1] for g in got])
+            what.append([g[2] for g in got])
             kinds.append(ks)
-            seen: set[str] = set()
-            for i, x in enumerate(lines):  # NAV_SHARE tells menus from lists of single pages
-                if ks[i] == "m" or (ks[i] == "t" and len(texts[i].split(" ")) <= 3):
-                    seen.update(labels_of(x))
-            labels.append(sorted(seen))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds), pa.array(labels, pa.list_(pa.string()))], ["page_id", "site", "keys", "kinds", "labels"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.int8())), pa.array(kinds)], ["page_id", "site", "keys", "at", "what", "kinds"])
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -213,23 +255,25 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def expressions(texts: DataFrame) -> DataFrame:
-    """(site, nodes, labels, pages): the wrapper of every site and its menu labels."""
-    lines = cut(texts.filter("site is not null").mapInArrow(_featurize, "page_id bigint, site string, keys array<bigint>, kinds string, labels array<string>"))
+    """(site, nodes, pages): the wrapper of every site."""
+    lines = cut(texts.filter("site is not null").mapInArrow(_featurize, "page_id bigint, site string, keys array<bigint>, at array<int>, what array<tinyint>, kinds string"))
     tokens = p1_site_lines.repeated_lines(lines, TOKEN_PAGES, TOKEN_SHARE).groupBy("site").agg(F.collect_list("key").alias("tokens"))
-    tokens = cut(tokens)  # bounded by lines per page / TOKEN_SHARE for each site
+    tokens = cut(tokens)  # bounded by tokens per page / TOKEN_SHARE for each site
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sites: dict[str, tuple[set[int], list[Node]]] = {}
         for b in batches:
-            names, toks = b.column(0).to_pylist(), b.column(3)
-            for i, (site, keys, kinds) in enumerate(zip(names, b.column(1).to_pylist(), b.column(2).to_pylist())):
+            toks = b.column(5)
+            cols = [b.column(i).to_pylist() for i in range(5)]
+            for i, (site, keys, at, what, kinds) in enumerate(zip(*cols)):
                 if site not in sites:
                     sites[site] = (set(toks[i].as_py() or []), [])
                 known, nodes = sites[site]
-                sites[site] = (known, align(nodes, stream(keys, kinds, known)))
+                sites[site] = (known, align(nodes, stream(list(zip(keys, at, what)), kinds, known)))
         yield pa.RecordBatch.from_arrays([pa.array(list(sites), pa.string()), pa.array([_dump(n) for _, n in sites.values()], pa.string())], ["site", "nodes"])
 
-    parts = lines.select("site", "keys", "kinds").join(measured_broadcast(tokens, 100_000), "site", "left").select("site", "keys", "kinds", "tokens").mapInArrow(wrap, "site string, nodes string")
+    few = lines.select("site", "keys", "at", "what", "kinds")
+    parts = few.join(measured_broadcast(tokens), "site", "left").select(*few.columns, "tokens").mapInArrow(wrap, "site string, nodes string")
     parts = cut(parts)
 
     def merge(t: pa.Table) -> pa.Table:
@@ -245,9 +289,7 @@ def expressions(texts: DataFrame) -> DataFrame:
         salt = F.floor(F.pmod(F.xxhash64("nodes"), F.lit(1 << 20)) % F.lit(max(1, -(-most // MERGE))))
         parts = cut(parts.withColumn("salt", salt).groupBy("site", "salt").applyInArrow(merge, "site string, nodes string"))
     pages = lines.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    nav = lines.select("site", F.explode("labels").alias("label")).groupBy("site", "label").agg(F.count(F.lit(1)).alias("n"))
-    nav = nav.join(pages, "site").filter(F.col("n") >= F.greatest(F.lit(3), F.col("pages") * NAV_SHARE)).groupBy("site").agg(F.collect_list("label").alias("labels"))
-    return cut(pages.join(parts, "site", "left").join(nav, "site", "left"))
+    return cut(pages.join(parts, "site", "left"))
 
 
 def _topical(text: str, common: frozenset[str]) -> list[str]:
@@ -282,26 +324,36 @@ def common_words(texts: DataFrame) -> frozenset[str]:
 class Site:
     """What the expression of a site says of its lines."""
 
-    def __init__(self, nodes: str | None, labels: list[str] | None, common: frozenset[str] = frozenset(), pages: int | None = None) -> None:
+    def __init__(self, nodes: str | None, common: frozenset[str] = frozenset(), pages: int | None = None) -> None:
         self.common = common
-        self.nav = set(labels or [])
+        self.nav: set[int] = set()
+        self.slots: set[int] = set()
         self.outside: set[int] = set()
         self.boxes: set[int] = set()
         self.template: set[int] = set()
         self.behind: set[int] = set()
+        pages = pages or 0
         for n in _load(nodes) if nodes else []:
-            if n.pages >= max(8, TEMPLATE_SHARE * (pages or 0)):
+            if n.what == LABEL:
+                if n.pages >= NAV_SHARE * pages:
+                    self.nav.add(n.key)
+                continue
+            if n.what == SLOT:
+                if n.pages >= max(8, SLOT_SHARE * pages) and n.short >= 0.9 * n.pages and n.listed <= 0.5 * n.pages:
+                    self.slots.add(n.key)  # rows of lists and tables stand beside each other
+                continue
+            if n.pages >= max(8, TEMPLATE_SHARE * pages):
                 self.template.add(n.key)
-            elif n.pages >= max(8, NAV_SHARE * (pages or 0)) and n.short >= 0.9 * n.pages and n.tail >= 0.95 * n.pages:
+            elif n.pages >= max(8, NAV_SHARE * pages) and n.short >= 0.9 * n.pages and n.tail >= 0.95 * n.pages:
                 self.behind.add(n.key)
-            if n.short >= 0.9 * n.pages:
+            if n.short >= 0.9 * n.pages and n.pages >= 4:
                 if n.titles >= 0.6 * n.pages:
                     self.boxes.add(n.key)
                 elif n.mid <= 0.05 * n.pages and n.pages >= 8:
                     self.outside.add(n.key)
 
 
-NO_SITE = Site(None, None)
+NO_SITE = Site(None)
 
 
 def label_lines(content: str | None, site: Site) -> str:
@@ -311,9 +363,8 @@ def label_lines(content: str | None, site: Site) -> str:
 
 def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], list[str], list[str]]:
     """(lines, their plain texts, kinds, labels) of a page."""
-    lines = content.split("\n") if content else []
-    texts = [plain(x) for x in lines]
-    kinds = [kind(x, t) for x, t in zip(lines, texts)]
+    lines, texts, letters = parse(content)
+    kinds = list(letters)
     out = []
     started = False
     heads: list[int] = []
@@ -337,7 +388,7 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
             heads.append(i)
         elif k in "mt":
             parts = labels_of(x)
-            known = sum(p in site.nav for p in parts)
+            known = sum(_hash("label ", p) in site.nav for p in parts) if site.nav else 0
             if (len(parts) >= 2 and known >= 0.6 * len(parts)) or (len(parts) == 1 and known and not started):
                 got = "F"
             elif k == "t" or not parts:
@@ -347,9 +398,9 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
                     heads.append(i)
                 elif key in site.outside and not started and len(parts) == 1:
                     got = "F"
-        if got == "M" and len(t) <= LONG and (site.template or site.behind):
+        if got == "M" and len(t) <= LONG and (site.template or site.behind or site.slots):
             key = key_of(x)
-            if key in site.template:
+            if key in site.template or (site.slots and (h := head_of(t)) and _hash("head ", h) in site.slots and not _is_row(x)):
                 got = "F"
             elif key in site.behind:
                 behind.append(i)
@@ -384,41 +435,56 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
     return lines, texts, kinds, out
 
 
-def _reader(common: Broadcast) -> Callable[[pa.RecordBatch], Iterator[tuple[str | None, Site]]]:
-    """What gives (content, site) of every row of a batch of Modelled.table; it keeps the sites of a partition."""
-    sites: dict[str | None, Site] = {}
-
-    def rows(b: pa.RecordBatch) -> Iterator[tuple[str | None, Site]]:
-        for i, (name, content) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            if name not in sites:
-                if len(sites) > 10_000:
-                    sites.clear()
-                sites[name] = Site(b.column(3)[i].as_py(), b.column(4)[i].as_py(), common.value, b.column(5)[i].as_py())
-            yield content, sites[name]
-
-    return rows
-
-
 class Modelled:
-    """The pages with the expression of their site, and the words common on all sites."""
+    """The pages with what the expression of their site says, and the words common on all sites."""
 
     def __init__(self, pages: DataFrame) -> None:
-        texts = page_texts(pages)
-        models = expressions(texts)
-        self.common = pages.sparkSession.sparkContext.broadcast(common_words(texts))
-        #: (page_id, site, content, nodes, labels, pages)
-        self.table = texts.join(measured_broadcast(models.select("site", "nodes", "labels", "pages"), 10_000), "site", "left").select("page_id", "site", "content", "nodes", "labels", "pages")
+        self.texts = page_texts(pages)
+        models = expressions(self.texts)
+        sc = pages.sparkSession.sparkContext
+        self.common = sc.broadcast(common_words(self.texts))
+        size = models.agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0))).first()[0]
+        #: site to (nodes, pages) where all expressions are small enough to broadcast; else they travel with the pages
+        self.models: Broadcast | None = None
+        self.table = self.texts.select("page_id", "site", "content", F.lit(None).cast("string").alias("nodes"), F.lit(None).cast("bigint").alias("pages"))
+        if size <= BROADCAST_CHARS:
+            self.models = sc.broadcast({r.site: (r.nodes, r.pages) for r in models.toLocalIterator()})
+        else:
+            self.table = self.texts.join(models, "site", "left").select("page_id", "site", "content", "nodes", "pages")
 
-    def labelled(self, table: DataFrame | None = None) -> DataFrame:
-        """(page_id, content, labels) of every page; see label_lines."""
-        make = functools.partial(_reader, self.common)
+    def _mapped(self, each: Callable[[str | None, Site], tuple], names: list[str], schema: str) -> DataFrame:
+        """page_id and what `each` makes of every page's content and site."""
+        common, models = self.common, self.models
 
-        def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = make()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sites: dict[str | None, Site] = {}
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([label_lines(c, s) for c, s in rows(b)], pa.string())], ["page_id", "content", "labels"])
+                out = []
+                for i, (name, content) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                    if name not in sites:
+                        if len(sites) > HELD_SITES:
+                            sites.clear()
+                        nodes, n = (b.column(3)[i].as_py(), b.column(4)[i].as_py()) if models is None else models.value.get(name, (None, None))
+                        sites[name] = Site(nodes, common.value, n)
+                    out.append(each(content, sites[name]))
+                cols = list(zip(*out)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in cols]], ["page_id", *names])
+
+        return self.table.mapInArrow(run, schema)
+
+    def labelled(self) -> DataFrame:
+        """(page_id, content, labels) of every page; see label_lines."""
+        return self._mapped(lambda c, s: (c, label_lines(c, s)), ["content", "labels"], "page_id bigint, content string, labels string")
+
+    def bodies(self) -> DataFrame:
+        """(page_id, main, kinds): the lines of every page's main body, bylines, legal notices and remarks aside, and their kinds."""
+        return self._mapped(main_body, ["main", "kinds"], "page_id bigint, main string, kinds string")
+
 
-        return (self.table if table is None else table).mapInArrow(label, "page_id bigint, content string, labels string")
+def main_body(content: str | None, site: Site) -> tuple[str | None, str | None]:
+    lines, _, kinds, labels = annotate(content, site)
+    at = [i for i, x in enumerate(labels) if x == "M"]
+    return ("\n".join(lines[i] for i in at), "".join(kinds[i] for i in at)) if at else (None, None)
 
 
 def labelled(pages: DataFrame) -> DataFrame:
@@ -437,7 +503,8 @@ def clean(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(site, pages, tokens, optional, repeated): the size of every site's expression."""
+    """(site, pages, tokens, labels, slots, optional, repeated): the size of every site's expression, menu labels and tokens with a text slot."""
     nodes = F.from_json("nodes", "array<array<bigint>>")
     e = expressions(page_texts(pages)).withColumn("n", nodes)
-    return e.select("site", "pages", F.size("n").alias("tokens"), F.size(F.filter("n", lambda x: x[1] < F.col("pages"))).alias("optional"), F.size(F.filter("n", lambda x: x[5] > 0)).alias("repeated"))
+    count = lambda test: F.size(F.filter("n", test))
+    return e.select("site", "pages", F.size("n").alias("tokens"), count(lambda x: x[1] == LABEL).alias("labels"), count(lambda x: x[1] == SLOT).alias("slots"), count(lambda x: x[2] < F.col("pages")).alias("optional"), count(lambda x: x[6] > 0).alias("repeated"))

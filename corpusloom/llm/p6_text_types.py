@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import p4_main_body, p7_residue
+from corpusloom.llm import p7_residue
 from corpusloom.session import cut
 
 TYPES = ("prose", "list", "table", "junk")
@@ -153,21 +153,19 @@ _SCHEMA = ", ".join(f"{c} double" for c in STATS)
 def types(pages: DataFrame) -> DataFrame:
     """(page_id, STATS, type, p_prose, residue): the statistics and the type of every page."""
     spark = pages.sparkSession
-    m, models = p7_residue.prepare(pages)
-    common = m.common
+    bodies, models = p7_residue.prepare(pages)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = p4_main_body._reader(common)
         for b in batches:
             rows, gone = [], []
-            for c, site in read(b):
-                body = p7_residue.main_lines(c, site)
+            for m, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                body = p7_residue.split_body(m, k)
                 rows.append(statistics(body))
                 gone.append(p7_residue.residue([(x, t) for x, t, _ in body], models.value)[0])
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([votes(r) for r in rows], pa.string()), pa.array(gone, pa.bool_())], ["page_id", *STATS, "votes", "residue"])
 
-    stats = cut(m.table.mapInArrow(describe, f"page_id bigint, {_SCHEMA}, votes string, residue boolean"))
+    stats = cut(bodies.mapInArrow(describe, f"page_id bigint, {_SCHEMA}, votes string, residue boolean"))
     # at most 4 ** 11 patterns, whatever the number of pages
     counts = {r.votes: r.n for r in stats.filter("words > 0 and not residue").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     share, prob = fit(counts)

@@ -2,10 +2,11 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime
+from pathlib import Path
 
-import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,23 +156,35 @@ def test_p4_labels_furniture(site):
 
 
 def test_p4_alignment():
-    n = lambda *k: [p4_main_body.Node(x, 1) for x in k]
+    n = lambda *k: [p4_main_body.Node(x, 0, 1) for x in k]
     e = p4_main_body.align(n(1, 2, 4), n(1, 3, 4))
     assert [x.key for x in e] == [1, 2, 3, 4] and [x.pages for x in e] == [2, 1, 1, 2]
     assert [x.pages for x in p4_main_body.align(e, n(4, 1))] != [] and p4_main_body.align([], []) == []
-    s = p4_main_body.stream([7, None, 8, 7], "tbpt", {7, 8})
+    s = p4_main_body.stream([(7, 0, 0), (8, 2, 0), (7, 3, 0)], "tbpt", {7, 8})
     assert [x.key for x in s] == [7, 8] and s[0].repeated == 1
 
 
 def wrapper_site(pages):
     """The Site of one host from the lines of its pages, as the passes make it."""
-    keys = [[p4_main_body.key_of(x) for x in p] for p in pages]
-    kinds = ["".join(p4_main_body.kind(x, p4_main_body.plain(x)) for x in p) for p in pages]
-    tokens = {k for k in set(sum(keys, [])) if k and sum(k in x for x in keys) >= p4_main_body.TOKEN_PAGES}
+    found = []
+    for p in pages:
+        lines, texts, kinds = p4_main_body.parse("\n".join(p))
+        found.append((p4_main_body.tokens_of(lines, texts, kinds), kinds))
+    on = Counter(k for f, _ in found for k in {x[0] for x in f})
+    tokens = {k for k, n in on.items() if n >= max(p4_main_body.TOKEN_PAGES, p4_main_body.TOKEN_SHARE * len(pages))}
     nodes = []
-    for k, d in zip(keys, kinds):
-        nodes = p4_main_body.align(nodes, p4_main_body.stream(k, d, tokens))
-    return p4_main_body.Site(p4_main_body._dump(nodes), [], frozenset(), len(pages))
+    for f, kinds in found:
+        nodes = p4_main_body.align(nodes, p4_main_body.stream(f, kinds, tokens))
+    return p4_main_body.Site(p4_main_body._dump(nodes), frozenset(), len(pages))
+
+
+def test_p4_wrapper_finds_menus_and_lines_with_slots():
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    menus = ["Moorings > Pilots > Tollgates > Ferries", "Tollgates > Ferries > Moorings"]
+    pages = [[menus[i % 2], f"Turn the page: the tale of ward {name(i)}", f"The clerk of ward {name(i)} read the entry aloud to the assembled members of the council.", f"Ward {name(i)}: 12 boats"] for i in range(80)]
+    site = wrapper_site(pages)
+    assert {p4_main_body.label_lines("\n".join(p), site) for p in pages} == {"FFMM"}
+    assert p4_main_body.label_lines("\n".join(pages[0]), p4_main_body.NO_SITE) == "MMMM"
 
 
 def test_p4_wrapper_labels_furniture_of_any_wording():
@@ -200,11 +213,9 @@ def test_p4_side_box_goes_on_behind_rows_and_lists():
 
 def test_p4_menu_labels_from_the_whole_page():
     menu = "Finance > Cards > Careers > Help"
-    pages = ["\n" * 50 + menu, "\n".join([*prose_body(1)[:3], "Mortgages | Savings | Branches"])]
-    b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["h", "h"]), pa.array(pages)], ["page_id", "site", "content"])
-    labels = [x for (out,) in [tuple(p4_main_body._featurize(iter([b])))] for x in out.column(4).to_pylist()]
-    site = p4_main_body.Site(None, sum(labels, []))
-    assert p4_main_body.label_lines(pages[0], site) == "B" * 50 + "F" and p4_main_body.label_lines(pages[1], site) == "MMMF"
+    pages = [["\n" * 50 + menu], [*prose_body(1)[:3], "Careers | Finance | Branches"], *[[*prose_body(i)[:3], menu] for i in range(3)]]
+    site = wrapper_site(pages)
+    assert p4_main_body.label_lines("\n".join(pages[0]), site) == "B" * 50 + "F" and p4_main_body.label_lines("\n".join(pages[1]), site) == "MMMF"
 
 
 def test_p4_common_words_count_all_pages(spark, monkeypatch):
@@ -216,11 +227,51 @@ def test_p4_common_words_count_all_pages(spark, monkeypatch):
 
 
 def test_p4_alignment_keeps_every_token():
-    n = lambda lo: [p4_main_body.Node(x, 1) for x in range(lo, lo + 300)]
+    n = lambda lo: [p4_main_body.Node(x, 0, 1) for x in range(lo, lo + 300)]
     e = p4_main_body.align(p4_main_body.align(n(0), n(150)), n(300))
     assert sorted(x.key for x in e) == list(range(600)) and sum(x.pages for x in e) == 900
 
 
+UNSEEN = {  # wordings that stand nowhere in the module
+    "filler": ["Turpior magnosus dictorum velitae consectum. Lacinor eratum pellentia mollior faucibor, ornatus sapienor luctum dignorum.",
+               "Vivamor ligulae rutrior. Porttitum senecta nullamor feliciter tristis auctorum commodor, bibendor egestor placerum."],
+    "notice": ["Sorry! We could not locate the document you asked for. It may have been renamed.",
+               "The application server returned an error. Try again later or contact the administrator, error code 5512.",
+               "JavaScript appears to be disabled in your browser. Please switch it on and reload the page to continue.",
+               "Your session is no longer valid. Please sign in again to continue.",
+               "Access to this document is denied: you do not have the permission to view it."],
+}
+
+
+def test_p7_wordings_that_the_module_does_not_hold():
+    source = Path(p7_residue.__file__).read_text()
+    assert not any(x in source for v in UNSEEN.values() for x in v)
+    bodies = [prose_body(i) for i in range(300)]
+    prose = p7_residue.line_counts([x for b in bodies for x in b])
+    models = p7_residue.learned(p7_residue.seed_counts(), prose, np.zeros((2, p7_residue.SLOTS), np.int64))
+    judge = lambda lines: p7_residue.residue([(x, p4_main_body.plain(x)) for x in lines], models)[0]
+    assert all(judge([*prose_body(1)[:3], x]) and judge([x]) for x in UNSEEN["filler"])
+    assert all(judge([x]) and not judge([*prose_body(1), *prose_body(2), x]) for x in UNSEEN["notice"])
+    assert not any(judge(b) for b in bodies[:20])
+
+
+def test_p7_learns_wordings_beside_known_ones():
+    bodies = [prose_body(i) for i in range(300)] + [["Page not found", "Pray consult the harbour master."]] * 6
+    texts = [[p4_main_body.plain(x) for x in b] for b in bodies]
+    prose, none = p7_residue.line_counts([x for b in texts for x in b]), np.zeros((2, p7_residue.SLOTS), np.int64)
+    models = p7_residue.learned(p7_residue.seed_counts(), prose, none)
+    near = [(int(p7_residue.line_grams(b)[1].sum()), some) for b in texts if (some := p7_residue.near_lines(b, models))]
+    more = p7_residue.moved(near, models)
+    assert more[1].sum() > 0 and more[0].sum() == 0
+    assert all(p7_residue.residue([(x, x) for x in b], p7_residue.learned(p7_residue.seed_counts(), prose, more))[0] == (b[0] == "Page not found") for b in texts[290:])
+
+
+def test_p7_sentences_about_templates():
+    assert not p7_residue.placeholders("A developer writes {name} where the template needs a customer.")
+    assert not p7_residue.placeholders("The token &lt;NAME&gt; stands for the reader and is filled in later.")
+    assert p7_residue.placeholders("Dear &lt;first_name&gt;, the draft is ready.") and p7_residue.placeholders("The field unit met {$city} today.")
+
+
 def test_p7_residue(site):
     df, _ = site
     assert {r.page_id for r in p7_residue.found(df).collect()} == {100, 101, 102, 103}
