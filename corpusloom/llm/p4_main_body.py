@@ -197,7 +197,7 @@ def tokens_of(lines: list[str], texts: list[str], kinds: str) -> list[tuple[int,
 def stream(found_: list[tuple[int, int, int]], kinds: str, tokens: set[int]) -> list[Node]:
     """The page's template tokens, with their place relative to its running text."""
     known = {i for k, i, what in found_ if what == LINE and k in tokens}
-    headed = {i for _, i, what in found_ if what == SLOT}
+    headed = {i for _, i, what in found_ if what == SLOT and kinds[i] != "m"}
     prose = [i for i, k in enumerate(kinds) if k == "p" and i not in known]
     first, last = (prose[0], prose[-1]) if prose else (len(kinds), -1)
     out: list[Node] = []
