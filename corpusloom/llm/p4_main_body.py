@@ -16,6 +16,7 @@ page without host is labelled by the grammar alone; blank lines are never furnit
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -57,6 +58,8 @@ LEGAL = re.compile(
     r"\b(?:no|not a) (?:promise|guarantee|indication) of (?:later|future)\b|\b(?:may|reserves? the right to) (?:change|amend|alter|withdraw)\b|"
     r"^terms(?:,| and) .*|^complaints? about\b|\bterms and conditions apply\W*$|\b(?:subject to|without) (?:prior )?(?:change|notice)\b|"
     r"\bdoes not constitute\b|\bpast performance\b|\baccepts? no liability\b|\bno liability is accepted\b", re.I)
+#: what every legal notice above holds some of; looked for first because it is cheap
+_LEGAL_HINTS = ("advice", "only", " of later", " of future", "change", "amend", "alter", "withdraw", "terms", "complaint", "notice", "constitute", "performance", "liability")
 REMARKS = frozenset(["new", "see the schedule of charges", "call the helpline for details", "download the form", "apply online", "not available on public holidays", "source internal data", "terms and conditions apply", "visit your nearest branch today", "read the full story below"])
 
 _BULLETS = " \t\r\n\x0b\x0c-*•·»>–—"
@@ -86,8 +89,16 @@ def _cut_tail(text: str, mark: re.Pattern[str]) -> str:
     return text
 
 
+_ASCII_OTHERS = {i: None for i in range(128) if not chr(i).isalpha()}
+
+
+def _letters(text: str) -> str:
+    text = text.lower()
+    return text.translate(_ASCII_OTHERS) if text.isascii() else _NO_LETTER.sub("", text)
+
+
 def key_of(line: str) -> int | None:
-    letters = _NO_LETTER.sub("", line.lower())
+    letters = _letters(line)
     return xxhash.xxh64_intdigest(letters.encode("utf-8", "surrogatepass")) - (1 << 63) if letters else None
 
 
@@ -121,13 +132,18 @@ def head_of(text: str) -> str | None:
     m = _HEAD.match(text)
     if m is None or len(m[1].split(" ")) > 4 or _NUMBER.search(m[1]):
         return None
-    return _NO_LETTER.sub("", m[1].lower()) or None
+    return _letters(m[1]) or None
 
 
 def _hash(kind_: str, text: str) -> int:
     return xxhash.xxh64_intdigest((kind_ + text).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def is_legal(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in _LEGAL_HINTS) and LEGAL.search(text) is not None
+
+
 def labels_of(line: str) -> list[str]:
     """The labels of a menu line in lower case; a table row has figures and is none."""
     bare = _cut_tail(line.replace("\xa0", " ").lstrip(_BULLETS), _MARK)
@@ -178,19 +194,37 @@ def align(left: list[Node], right: list[Node]) -> list[Node]:
     return single  # no more than the site's tokens, which TOKEN_SHARE bounds
 
 
-def tokens_of(lines: list[str], texts: list[str], kinds: str) -> list[tuple[int, int, int]]:
+def _facts(line: str) -> tuple[str, str, int | None, tuple[int, ...], int | None]:
+    """(plain text, kind, key, keys of its menu labels, key of its head) of a line."""
+    t = plain(line)
+    k = kind(line, t)
+    if k == "b":
+        return t, k, None, (), None
+    labels = tuple(_hash("label ", l) for l in labels_of(line)) if k in "mt" else ()
+    h = head_of(t) if len(t) <= LONG else None
+    return t, k, key_of(line), labels, _hash("head ", h) if h and not _is_row(line) else None
+
+
+_short_facts = functools.lru_cache(1 << 15)(_facts)  # short lines recur
+
+
+_REMARK_KEYS = frozenset(key_of(x) for x in REMARKS)
+
+
+def facts(line: str) -> tuple[str, str, int | None, tuple[int, ...], int | None]:
+    return _short_facts(line) if len(line) <= LONG else _facts(line)
+
+
+def tokens_of(lines: list[tuple]) -> list[tuple[int, int, int]]:
     """(key, line, what) of everything on a page that may be a template token: lines, menu labels, heads of lines with a slot."""
     out = []
-    for i, (x, t, k) in enumerate(zip(lines, texts, kinds)):
-        if k == "b":
-            continue
-        key = key_of(x)
+    for i, (t, k, key, labels, head) in enumerate(lines):
         if key is not None:
             out.append((key, i, LINE))
-        if k == "m" or (k == "t" and t.count(" ") < 3):  # NAV_SHARE tells menus from lists of single pages
-            out += [(_hash("label ", l), i, LABEL) for l in labels_of(x)]
-        if len(t) <= LONG and (h := head_of(t)) and not _is_row(x):
-            out.append((_hash("head ", h), i, SLOT))
+        if labels and (k == "m" or t.count(" ") < 3):  # NAV_SHARE tells menus from lists of single pages
+            out += [(l, i, LABEL) for l in labels]
+        if head is not None:
+            out.append((head, i, SLOT))
     return out
 
 
@@ -228,19 +262,18 @@ def _load(text: str) -> list[Node]:
 # --- passes --------------------------------------------------------------------------------------------------------
 
 
-def parse(content: str | None) -> tuple[list[str], list[str], str]:
-    """(lines, their plain texts, a letter for the kind of each)."""
-    lines = content.split("\n") if content else []
-    texts = [plain(x) for x in lines]
-    return lines, texts, "".join(kind(x, t) for x, t in zip(lines, texts))
+def parse(content: str | None) -> list[tuple]:
+    """The facts of every line."""
+    return [facts(x) for x in content.split("\n")] if content else []
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, at, what, kinds = [], [], [], []
         for content in b.column(2).to_pylist():
-            lines, texts, ks = parse(content)
-            got = tokens_of(lines, texts, ks)
+            lines = parse(content)
+            ks = "".join(f[1] for f in lines)
+            got = tokens_of(lines)
             keys.append([g[0] for g in got])
             at.append([g[1] for g in got])
             what.append([g[2] for g in got])
@@ -363,13 +396,14 @@ def label_lines(content: str | None, site: Site) -> str:
 
 def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], list[str], list[str]]:
     """(lines, their plain texts, kinds, labels) of a page."""
-    lines, texts, letters = parse(content)
-    kinds = list(letters)
+    lines = content.split("\n") if content else []
+    all_ = [facts(x) for x in lines]
+    texts, kinds = [f[0] for f in all_], [f[1] for f in all_]
     out = []
     started = False
     heads: list[int] = []
     behind: list[int] = []
-    for i, (x, t, k) in enumerate(zip(lines, texts, kinds)):
+    for i, (x, (t, k, key, labels, head)) in enumerate(zip(lines, all_)):
         got = "M"
         if k == "b":
             got = "B"
@@ -377,9 +411,9 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
             got = "M"
         elif BYLINE.match(t):
             got = "Y"
-        elif LEGAL.search(t):
+        elif is_legal(t):
             got = "L"
-        elif len(t) < 60 and " ".join(_WORD.findall(t.lower())) in REMARKS:
+        elif key in _REMARK_KEYS:
             got = "R"
         elif FURNITURE.match(t) or LINK.match(x):
             got = "F"
@@ -387,20 +421,17 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
             got = "F"
             heads.append(i)
         elif k in "mt":
-            parts = labels_of(x)
-            known = sum(_hash("label ", p) in site.nav for p in parts) if site.nav else 0
-            if (len(parts) >= 2 and known >= 0.6 * len(parts)) or (len(parts) == 1 and known and not started):
+            known = sum(p in site.nav for p in labels)
+            if (len(labels) >= 2 and known >= 0.6 * len(labels)) or (len(labels) == 1 and known and not started):
                 got = "F"
-            elif k == "t" or not parts:
-                key = key_of(x)
+            elif k == "t" or not labels:
                 if key in site.boxes and kinds[i + 1 : i + 3] == ["t", "t"]:
                     got = "F"
                     heads.append(i)
-                elif key in site.outside and not started and len(parts) == 1:
+                elif key in site.outside and not started and len(labels) == 1:
                     got = "F"
-        if got == "M" and len(t) <= LONG and (site.template or site.behind or site.slots):
-            key = key_of(x)
-            if key in site.template or (site.slots and (h := head_of(t)) and _hash("head ", h) in site.slots and not _is_row(x)):
+        if got == "M" and len(t) <= LONG:
+            if key in site.template or head in site.slots:
                 got = "F"
             elif key in site.behind:
                 behind.append(i)
@@ -477,14 +508,14 @@ class Modelled:
         return self._mapped(lambda c, s: (c, label_lines(c, s)), ["content", "labels"], "page_id bigint, content string, labels string")
 
     def bodies(self) -> DataFrame:
-        """(page_id, main, kinds): the lines of every page's main body, bylines, legal notices and remarks aside, and their kinds."""
-        return self._mapped(main_body, ["main", "kinds"], "page_id bigint, main string, kinds string")
+        """(page_id, main, plains, kinds): the lines of every page's main body, bylines, legal notices and remarks aside, their plain texts and kinds."""
+        return self._mapped(main_body, ["main", "plains", "kinds"], "page_id bigint, main string, plains string, kinds string")
 
 
-def main_body(content: str | None, site: Site) -> tuple[str | None, str | None]:
-    lines, _, kinds, labels = annotate(content, site)
+def main_body(content: str | None, site: Site) -> tuple[str | None, str | None, str | None]:
+    lines, texts, kinds, labels = annotate(content, site)
     at = [i for i, x in enumerate(labels) if x == "M"]
-    return ("\n".join(lines[i] for i in at), "".join(kinds[i] for i in at)) if at else (None, None)
+    return ("\n".join(lines[i] for i in at), "\n".join(texts[i] for i in at), "".join(kinds[i] for i in at)) if at else (None, None, None)
 
 
 def labelled(pages: DataFrame) -> DataFrame:

@@ -158,8 +158,8 @@ def types(pages: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, gone = [], []
-            for m, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                body = p7_residue.split_body(m, k)
+            for m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                body = p7_residue.split_body(*m)
                 rows.append(statistics(body))
                 gone.append(p7_residue.residue([(x, t) for x, t, _ in body], models.value)[0])
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(STATS))]

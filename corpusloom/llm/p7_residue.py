@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import p4_main_body
-from corpusloom.llm.p4_main_body import plain
 from corpusloom.session import cut
 
 N, SLOTS = 4, 1 << 16
@@ -136,7 +135,7 @@ class Models:
         rank = np.arange(len(line)) - np.repeat(np.cumsum(per) - per, per)
         starts = np.repeat(np.cumsum(size) - size, per) + rank * WINDOW
         n = np.diff(np.r_[starts, len(flat)])
-        sums = np.add.reduceat(self.log[:, flat], starts, axis=1) / n
+        sums = [np.add.reduceat(x.take(flat), starts) / n for x in self.log]
         against = np.maximum(sums[2], self.even)
         return line, n, sums[0] - against, sums[1] - against
 
@@ -229,13 +228,13 @@ def residue(body: list[tuple[str, str]], models: Models) -> tuple[bool, int, int
     return bool(case), int(holes), filler, notice, total
 
 
-def split_body(main: str | None, kinds: str | None) -> list[tuple[str, str, str]]:
+def split_body(main: str | None, plains: str | None, kinds: str | None) -> list[tuple[str, str, str]]:
     """(line, plain text, kind) of the lines of a main body."""
-    return [(x, plain(x), k) for x, k in zip(main.split("\n"), kinds)] if main is not None and kinds else []
+    return list(zip(main.split("\n"), plains.split("\n"), kinds)) if main is not None and kinds else []
 
 
-def _texts(main: str | None) -> list[str]:
-    return [t for t in map(plain, main.split("\n")) if _LETTER.search(t) and not _SERIAL.fullmatch(t)] if main else []
+def _texts(plains: str | None) -> list[str]:
+    return [t for t in plains.split("\n") if _LETTER.search(t) and not _SERIAL.fullmatch(t)] if plains else []
 
 
 def _sparse(counts: np.ndarray) -> pa.RecordBatch:
@@ -247,7 +246,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((1, SLOTS), np.int64)
     for b in batches:
         for lo in range(0, b.num_rows, 500):
-            counts[0] += line_counts([t for m in b.column(1).slice(lo, 500).to_pylist() for t in _texts(m)])
+            counts[0] += line_counts([t for m in b.column(2).slice(lo, 500).to_pylist() for t in _texts(m)])
     yield _sparse(counts)
 
 
@@ -260,7 +259,7 @@ def _total(parts: DataFrame, kinds: int) -> np.ndarray:
 
 
 def learn(bodies: DataFrame) -> Models:
-    """The models from all main bodies (page_id, main, kinds); see the module's text."""
+    """The models from all main bodies (page_id, main, plains, kinds); see the module's text."""
     sc = bodies.sparkSession.sparkContext
     counted = "what int, slot int, n bigint"
     seeds = seed_counts()
@@ -271,7 +270,7 @@ def learn(bodies: DataFrame) -> Models:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, lines = [], []
-            for m in b.column(1).to_pylist():
+            for m in b.column(2).to_pylist():
                 body = _texts(m)
                 if body and (some := near_lines(body, first.value)):
                     total.append(int(line_grams(body)[1].sum()))
@@ -293,7 +292,7 @@ def learn(bodies: DataFrame) -> Models:
 
 
 def prepare(pages: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """The main bodies (page_id, main, kinds), a written table, and the models that they give."""
+    """The main bodies (page_id, main, plains, kinds), a written table, and the models that they give."""
     bodies = cut(p4_main_body.Modelled(pages).bodies())
     return bodies, pages.sparkSession.sparkContext.broadcast(learn(bodies))
 
@@ -304,7 +303,7 @@ def judged(pages: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [residue([(x, t) for x, t, _ in split_body(m, k)], models.value) for m, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = [residue([(x, t) for x, t, _ in split_body(*m)], models.value) for m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["page_id", "residue", "holes", "filler", "notice", "body"])
 

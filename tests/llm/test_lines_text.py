@@ -168,8 +168,8 @@ def wrapper_site(pages):
     """The Site of one host from the lines of its pages, as the passes make it."""
     found = []
     for p in pages:
-        lines, texts, kinds = p4_main_body.parse("\n".join(p))
-        found.append((p4_main_body.tokens_of(lines, texts, kinds), kinds))
+        lines = p4_main_body.parse("\n".join(p))
+        found.append((p4_main_body.tokens_of(lines), "".join(x[1] for x in lines)))
     on = Counter(k for f, _ in found for k in {x[0] for x in f})
     tokens = {k for k, n in on.items() if n >= max(p4_main_body.TOKEN_PAGES, p4_main_body.TOKEN_SHARE * len(pages))}
     nodes = []
