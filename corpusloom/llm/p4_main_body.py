@@ -45,11 +45,13 @@ MERGE = 64  #: partial expressions merged in one task
 
 # Common wordings of web furniture, and of bylines, legal notices and short remarks.
 FURNITURE = re.compile(
-    r"^(?:(?:©|\(c\)|copyright)\s*\d{4}|.*\ball rights reserved\b|back to (?:the )?top\b|(?:skip|jump) to\b|subscribe\b.*newsletter|newsletter\b|"
-    r"(?:download|get) (?:our|the) (?:\S+ ){0,3}app$|follow us\b|privacy\b.*\bterms of use|terms of use\b.*\bprivacy|.*\b(?:we use|uses|accept) cookies\b|"
+    r"^(?:(?:©|\(c\)|copyright)\s*\d{4}|back to (?:the )?top\b|(?:skip|jump) to\b|subscribe\b.*newsletter|newsletter\b|"
+    r"(?:download|get) (?:our|the) (?:\S+ ){0,3}app$|follow us\b|privacy\b.*\bterms of use|terms of use\b.*\bprivacy|"
     r"(?:accept|reject|allow) (?:all|everything)\b.{0,60}$|share (?:this|on)\b|(?:e-?mail|print) this page|"
     r"(?:tags|filed under|topics): |previous: .*next: |(?:previous|next): |page \d+ of \d+|(?:advertisement|sponsored|promoted)\s*[:\-–] ?\S|"
     r"(?:read also|see also|see more|don.t miss|more on this|related)\s*[:\-–] ?\S|home\s*[>»/›|]\s*\S)", re.I)
+FURNITURE_INSIDE = re.compile(r"\ball rights reserved\b|\b(?:we use|uses|accept) cookies\b", re.I)
+_INSIDE_HINTS = ("reserved", "cookies", "RESERVED", "COOKIES")
 LINK = re.compile(r"^\s*>>\s*\S")
 BOX_HEAD = re.compile(r"^(?:related (?:products|pages|articles|links)|most (?:read|viewed)(?: this week| today)?|in this section|you may also like|popular pages|quick links|recommended(?: for you)?|also of interest)$", re.I)
 BYLINE = re.compile(r"^(?:posted [\d./\-]{8,10} by |published [\d./\-]{8,10}|last reviewed on |written (?:for|by) .*(?:min read|\d)|by the .{2,60}\|\s*[\d./\-]{8,10}|by [A-Z][^.]{2,40}\|)", re.I)
@@ -156,6 +158,15 @@ def labels_of(line: str) -> list[str]:
 # --- expressions ---------------------------------------------------------------------------------------------------
 
 
+def extend(nodes: dict[int, Node], page: list[Node]) -> dict[int, Node]:
+    """An expression (its nodes in order, by key) with one more page; only a page that brings new tokens needs to be aligned."""
+    if all(n.key in nodes for n in page):
+        for n in page:
+            nodes[n.key].add(n)
+        return nodes
+    return {n.key: n for n in align(list(nodes.values()), page)}
+
+
 LINE, LABEL, SLOT = 0, 1, 2
 
 
@@ -168,8 +179,14 @@ class Node:
         self.key, self.what, self.pages, self.head, self.tail, self.mid, self.repeated, self.titles, self.short, self.listed = key, what, pages, head, tail, mid, repeated, titles, short, listed
 
     def add(self, o: Node) -> None:
-        for f in Node.__slots__[2:]:
-            setattr(self, f, getattr(self, f) + getattr(o, f))
+        self.pages += o.pages
+        self.head += o.head
+        self.tail += o.tail
+        self.mid += o.mid
+        self.repeated += o.repeated
+        self.titles += o.titles
+        self.short += o.short
+        self.listed += o.listed
 
 
 def align(left: list[Node], right: list[Node]) -> list[Node]:
@@ -221,7 +238,7 @@ def tokens_of(lines: list[tuple]) -> list[tuple[int, int, int]]:
     for i, (t, k, key, labels, head) in enumerate(lines):
         if key is not None:
             out.append((key, i, LINE))
-        if labels and (k == "m" or t.count(" ") < 3):  # NAV_SHARE tells menus from lists of single pages
+        if labels:  # NAV_SHARE tells menus from lists of single pages
             out += [(l, i, LABEL) for l in labels]
         if head is not None:
             out.append((head, i, SLOT))
@@ -267,18 +284,42 @@ def parse(content: str | None) -> list[tuple]:
     return [facts(x) for x in content.split("\n")] if content else []
 
 
+_FEATURES = "page_id bigint, site string, content string, plains string, kinds string, keys array<bigint>, at array<int>, what array<tinyint>"
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, at, what, kinds = [], [], [], []
+        plains, kinds, keys, at, what = [], [], [], [], []
         for content in b.column(2).to_pylist():
             lines = parse(content)
-            ks = "".join(f[1] for f in lines)
             got = tokens_of(lines)
+            plains.append("\n".join(f[0] for f in lines))
+            kinds.append("".join(f[1] for f in lines))
             keys.append([g[0] for g in got])
             at.append([g[1] for g in got])
             what.append([g[2] for g in got])
-            kinds.append(ks)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.int8())), pa.array(kinds)], ["page_id", "site", "keys", "at", "what", "kinds"])
+        cols = [pa.array(plains, pa.string()), pa.array(kinds, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], ["page_id", "site", "content", "plains", "kinds", "keys", "at", "what"])
+
+
+def featurized(texts: DataFrame) -> DataFrame:
+    """The pages with the facts of their lines, a written table that all later passes read."""
+    return cut(texts.mapInArrow(_featurize, _FEATURES))
+
+
+def facts_of(plains: str, kinds: str, keys: list[int], at: list[int], what: list[int]) -> list[tuple]:
+    """The facts of a page's lines from its row of the table."""
+    key: dict[int, int] = {}
+    head: dict[int, int] = {}
+    labels: dict[int, list[int]] = {}
+    for k, i, w in zip(keys, at, what):
+        if w == LINE:
+            key[i] = k
+        elif w == SLOT:
+            head[i] = k
+        else:
+            labels.setdefault(i, []).append(k)
+    return [(t, k, key.get(i), labels.get(i, ()), head.get(i)) for i, (t, k) in enumerate(zip(plains.split("\n"), kinds))]
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -287,23 +328,23 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return one_per_key(few, "page_id", "loaded_at").select("page_id", p1_site_lines.host(F.col("url")).alias("site"), "content")
 
 
-def expressions(texts: DataFrame) -> DataFrame:
-    """(site, nodes, pages): the wrapper of every site."""
-    lines = cut(texts.filter("site is not null").mapInArrow(_featurize, "page_id bigint, site string, keys array<bigint>, at array<int>, what array<tinyint>, kinds string"))
+def expressions(pages: DataFrame) -> DataFrame:
+    """(site, nodes, pages): the wrapper of every site, from a table made by featurized."""
+    lines = pages.filter("site is not null").select("page_id", "site", "keys", "at", "what", "kinds")
     tokens = p1_site_lines.repeated_lines(lines, TOKEN_PAGES, TOKEN_SHARE).groupBy("site").agg(F.collect_list("key").alias("tokens"))
     tokens = cut(tokens)  # bounded by tokens per page / TOKEN_SHARE for each site
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sites: dict[str, tuple[set[int], list[Node]]] = {}
+        sites: dict[str, tuple[set[int], dict[int, Node]]] = {}
         for b in batches:
             toks = b.column(5)
             cols = [b.column(i).to_pylist() for i in range(5)]
             for i, (site, keys, at, what, kinds) in enumerate(zip(*cols)):
                 if site not in sites:
-                    sites[site] = (set(toks[i].as_py() or []), [])
+                    sites[site] = (set(toks[i].as_py() or []), {})
                 known, nodes = sites[site]
-                sites[site] = (known, align(nodes, stream(list(zip(keys, at, what)), kinds, known)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sites), pa.string()), pa.array([_dump(n) for _, n in sites.values()], pa.string())], ["site", "nodes"])
+                sites[site] = (known, extend(nodes, stream(list(zip(keys, at, what)), kinds, known)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sites), pa.string()), pa.array([_dump(list(n.values())) for _, n in sites.values()], pa.string())], ["site", "nodes"])
 
     few = lines.select("site", "keys", "at", "what", "kinds")
     parts = few.join(measured_broadcast(tokens), "site", "left").select(*few.columns, "tokens").mapInArrow(wrap, "site string, nodes string")
@@ -394,10 +435,11 @@ def label_lines(content: str | None, site: Site) -> str:
     return "".join(annotate(content, site)[3])
 
 
-def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], list[str], list[str]]:
-    """(lines, their plain texts, kinds, labels) of a page."""
+def annotate(content: str | None, site: Site, all_: list[tuple] | None = None) -> tuple[list[str], list[str], list[str], list[str]]:
+    """(lines, their plain texts, kinds, labels) of a page; all_ are the facts of its lines where they are known."""
     lines = content.split("\n") if content else []
-    all_ = [facts(x) for x in lines]
+    if all_ is None:
+        all_ = parse(content)
     texts, kinds = [f[0] for f in all_], [f[1] for f in all_]
     out = []
     started = False
@@ -415,7 +457,7 @@ def annotate(content: str | None, site: Site) -> tuple[list[str], list[str], lis
             got = "L"
         elif key in _REMARK_KEYS:
             got = "R"
-        elif FURNITURE.match(t) or LINK.match(x):
+        elif FURNITURE.match(t) or LINK.match(x) or (any(h in t for h in _INSIDE_HINTS) and FURNITURE_INSIDE.search(t)):
             got = "F"
         elif BOX_HEAD.match(t):
             got = "F"
@@ -470,50 +512,55 @@ class Modelled:
     """The pages with what the expression of their site says, and the words common on all sites."""
 
     def __init__(self, pages: DataFrame) -> None:
-        self.texts = page_texts(pages)
-        models = expressions(self.texts)
+        texts = featurized(page_texts(pages))
+        models = expressions(texts)
         sc = pages.sparkSession.sparkContext
-        self.common = sc.broadcast(common_words(self.texts))
+        self.common = sc.broadcast(common_words(texts))
         size = models.agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0))).first()[0]
         #: site to (nodes, pages) where all expressions are small enough to broadcast; else they travel with the pages
         self.models: Broadcast | None = None
-        self.table = self.texts.select("page_id", "site", "content", F.lit(None).cast("string").alias("nodes"), F.lit(None).cast("bigint").alias("pages"))
+        cols = ["page_id", "site", "content", "plains", "kinds", "keys", "at", "what"]
         if size <= BROADCAST_CHARS:
             self.models = sc.broadcast({r.site: (r.nodes, r.pages) for r in models.toLocalIterator()})
+            self.table = texts.select(*cols)
         else:
-            self.table = self.texts.join(models, "site", "left").select("page_id", "site", "content", "nodes", "pages")
+            self.table = texts.join(models, "site", "left").select(*cols, "nodes", "pages")
 
-    def _mapped(self, each: Callable[[str | None, Site], tuple], names: list[str], schema: str) -> DataFrame:
-        """page_id and what `each` makes of every page's content and site."""
+    def _mapped(self, each: Callable[[tuple], tuple], names: list[str], schema: str) -> DataFrame:
+        """page_id and what `each` makes of every page's annotation."""
         common, models = self.common, self.models
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sites: dict[str | None, Site] = {}
             for b in batches:
                 out = []
-                for i, (name, content) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for i, (name, content, *rest) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 8)))):
                     if name not in sites:
                         if len(sites) > HELD_SITES:
                             sites.clear()
-                        nodes, n = (b.column(3)[i].as_py(), b.column(4)[i].as_py()) if models is None else models.value.get(name, (None, None))
+                        nodes, n = (b.column(8)[i].as_py(), b.column(9)[i].as_py()) if models is None else models.value.get(name, (None, None))
                         sites[name] = Site(nodes, common.value, n)
-                    out.append(each(content, sites[name]))
+                    out.append(each(annotate(content, sites[name], facts_of(*rest) if content else [])))
                 cols = list(zip(*out)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in cols]], ["page_id", *names])
 
         return self.table.mapInArrow(run, schema)
 
     def labelled(self) -> DataFrame:
-        """(page_id, content, labels) of every page; see label_lines."""
-        return self._mapped(lambda c, s: (c, label_lines(c, s)), ["content", "labels"], "page_id bigint, content string, labels string")
+        """(page_id, labels) of every page; see label_lines."""
+        return self._mapped(lambda a: ("".join(a[3]),), ["labels"], "page_id bigint, labels string")
+
+    def cleaned(self) -> DataFrame:
+        """(page_id, content): the pages without their furniture lines; null content stays null."""
+        return self._mapped(lambda a: ("\n".join(x for x, l in zip(a[0], a[3]) if l != "F") if a[0] else None,), ["content"], "page_id bigint, content string")
 
     def bodies(self) -> DataFrame:
         """(page_id, main, plains, kinds): the lines of every page's main body, bylines, legal notices and remarks aside, their plain texts and kinds."""
         return self._mapped(main_body, ["main", "plains", "kinds"], "page_id bigint, main string, plains string, kinds string")
 
 
-def main_body(content: str | None, site: Site) -> tuple[str | None, str | None, str | None]:
-    lines, texts, kinds, labels = annotate(content, site)
+def main_body(page: tuple) -> tuple[str | None, str | None, str | None]:
+    lines, texts, kinds, labels = page
     at = [i for i, x in enumerate(labels) if x == "M"]
     return ("\n".join(lines[i] for i in at), "\n".join(texts[i] for i in at), "".join(kinds[i] for i in at)) if at else (None, None, None)
 
@@ -528,14 +575,13 @@ def found(pages: DataFrame) -> DataFrame:
 
 
 def clean(pages: DataFrame) -> DataFrame:
-    """(page_id, content): the pages without their furniture lines."""
-    keep = F.filter(F.split("content", "\n", -1), lambda x, i: F.substring("labels", i + 1, F.lit(1)) != "F")
-    return labelled(pages).select("page_id", F.array_join(keep, "\n").alias("content"))
+    """(page_id, content): the pages without their furniture lines; null and empty content becomes null."""
+    return Modelled(pages).cleaned()
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(site, pages, tokens, labels, slots, optional, repeated): the size of every site's expression, menu labels and tokens with a text slot."""
     nodes = F.from_json("nodes", "array<array<bigint>>")
-    e = expressions(page_texts(pages)).withColumn("n", nodes)
+    e = expressions(featurized(page_texts(pages))).withColumn("n", nodes)
     count = lambda test: F.size(F.filter("n", test))
     return e.select("site", "pages", F.size("n").alias("tokens"), count(lambda x: x[1] == LABEL).alias("labels"), count(lambda x: x[1] == SLOT).alias("slots"), count(lambda x: x[2] < F.col("pages")).alias("optional"), count(lambda x: x[6] > 0).alias("repeated"))

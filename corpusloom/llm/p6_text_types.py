@@ -33,6 +33,8 @@ FUNCTION_WORDS = frozenset(
 )
 _CODE = re.compile(r"[{};=<>\\|~^$#@*_]")
 _DIGIT = re.compile(r"\d")
+_NO_CODE = {ord(c): None for c in "{};=<>\\|~^$#@*_"}
+_NO_DIGIT = {ord(c): None for c in "0123456789"}
 _ENDED = re.compile(r"[.?!]\W{0,4}(?:\(\d+\))?\s*$")
 _CELL = re.compile(r"\t|\s{2,}|[|;,]")
 _VOWEL = re.compile(r"[aeiouyàâéèêëîïôöûüáíóúä]", re.I)
@@ -49,6 +51,7 @@ def _silent(word: str) -> bool:
 def statistics(body: list[tuple[str, str, str]]) -> tuple[float | None, ...]:
     """STATS over the main-body lines (line, plain text, kind): counts, then ratios."""
     text = "\n".join(t for _, t, _ in body)
+    plain_ascii = text.isascii()
     tokens = text.split()
     chars = sum(map(len, tokens))
     if not tokens or not chars:
@@ -67,8 +70,8 @@ def statistics(body: list[tuple[str, str, str]]) -> tuple[float | None, ...]:
         float(len(body)),
         float(len(tokens)),
         sum(map(len, low)) / max(1, len(low)),
-        len(_CODE.findall(text)) / chars,
-        len(_DIGIT.findall(text)) / chars,
+        (len(text) - len(text.translate(_NO_CODE)) if plain_ascii else len(_CODE.findall(text))) / chars,
+        (len(text) - len(text.translate(_NO_DIGIT)) if plain_ascii else len(_DIGIT.findall(text))) / chars,
         ended / len(tokens),
         sum(map(FUNCTION_WORDS.__contains__, low)) / max(1, len(low)),
         sum(bool(_BULLET.match(x)) for x, _, _ in body) / len(body),
