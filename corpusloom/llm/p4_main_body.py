@@ -371,6 +371,12 @@ def _topical(text: str, common: frozenset[str]) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w not in _FRAME and w not in common]
 
 
+@functools.lru_cache(1 << 16)
+def _words_in(token: str) -> tuple[str, ...]:
+    """The words of a piece between white space."""
+    return tuple(_WORD.findall(token))
+
+
 def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, int] = {}
 
@@ -379,7 +385,7 @@ def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for content in b.column(0).to_pylist():
-            for w in set(_WORD.findall(content.lower())):
+            for w in set().union(*map(_words_in, set(content.lower().split()))):
                 seen[w] = seen.get(w, 0) + 1
             if len(seen) > HELD_WORDS:
                 yield out()

@@ -43,6 +43,12 @@ _BULLET = re.compile(r"^\s*(?:[\-*•·»>]|\d{1,3}[.)])\s")
 STATS = ("lines", "words", "word_length", "symbols", "digits", "ended", "common", "bullets", "in_prose", "vowelless", "long_words", "cells", "repeats", "in_long")
 
 
+@functools.lru_cache(1 << 16)
+def _words_in(token: str) -> tuple[str, ...]:
+    """The words of a piece between white space."""
+    return tuple(_WORDS.findall(token))
+
+
 @functools.lru_cache(1 << 16)
 def _silent(word: str) -> bool:
     return _VOWEL.search(word) is None
@@ -56,8 +62,7 @@ def statistics(body: list[tuple[str, str, str]]) -> tuple[float | None, ...]:
     chars = sum(map(len, tokens))
     if not tokens or not chars:
         return (float(len(body)), 0.0) + (None,) * (len(STATS) - 2)
-    low = text.lower()
-    low = _WORDS.findall(low)
+    low = [w for t in text.lower().split() for w in _words_in(t)]
     in_prose = in_long = ended = 0
     for x, t, k in body:
         n = t.count(" ") + 1
