@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, most: int | None = None, waves: int = 50) -> DataFrame:
-    """(seed, url, depth): urls reached from each seed over (src, dst) edges, in waves.
+# What a crawler accepts.
+OK, HTML, LEAST_CHARS = 200, "text/html", 120
 
-    `most` caps the urls of one seed, nearest and then alphabetically first; None follows the whole graph. Null urls and
-    self links are ignored. Every wave is a written table; only new urls go on.
+
+def valid_response(status: Column, content_type: Column) -> Column:
+    """Whether a response is an HTML page; a missing status or type is not."""
+    return F.coalesce((status == OK) & content_type.contains(HTML), F.lit(False))
+
+
+def has_content(text: Column) -> Column:
+    """Whether a page has more than LEAST_CHARS characters besides the white space around its lines; null has none."""
+    bare = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), "")
+    return F.coalesce(F.length(bare) > LEAST_CHARS, F.lit(False))
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(seed, url, depth): urls reached from each seed over (src, dst) edges, in waves until nothing new is found.
+
+    `most` caps the urls of one seed, nearest and then alphabetically first; a seed that has so many goes no further. None
+    follows the whole graph. Null urls and self links are ignored. Every wave is a written table of its new urls only.
     """
     e = cut(edges.filter("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
-    seen = cut(seeds.filter("url is not null").select(F.col("url").alias("seed"), "url").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for d in range(1, waves + 1):
-        nxt = front.select("seed", F.col("url").alias("src")).join(e, "src").select("seed", F.col("dst").alias("url")).distinct()
-        front = cut(nxt.join(seen.select("seed", "url"), ["seed", "url"], "left_anti").withColumn("depth", F.lit(d)))
-        if not front.take(1):
-            break
-        seen = cut(seen.unionByName(front))
+    front = cut(seeds.filter("url is not null").select(F.col("url").alias("seed"), "url").distinct().withColumn("depth", F.lit(0)))
+    seen = front
+    while True:
+        nxt = front.select("seed", F.col("url").alias("src"), "depth").join(e, "src").select("seed", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
+        nxt = nxt.join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
         if most is not None:
-            from pyspark.sql import Window
-
-            seen = cut(seen.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "url"))).filter(F.col("_n") <= most).drop("_n"))
-    return seen
+            have = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("have"))
+            rank = F.row_number().over(Window.partitionBy("seed").orderBy("url"))
+            nxt = nxt.withColumn("_n", rank).filter(F.col("_n") <= most).join(have, "seed").filter(F.col("_n") + F.col("have") <= most).select("seed", "url", "depth")
+        front = cut(nxt)
+        if not front.take(1):
+            return seen
+        seen = seen.unionByName(front)
 
 
 def crawl_summary(runs: DataFrame) -> DataFrame:

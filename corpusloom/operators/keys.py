@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-BROADCAST_ROWS = 500_000  #: rows of at most a few dozen bytes: less than 100 MB as a hashed relation
+BROADCAST_ROWS = 500_000  #: rows of a broadcast side
+BROADCAST_BYTES = 32_000_000  #: bytes of a broadcast side as it is written, some 100 MB as a hashed relation
 
 
 def measured_broadcast(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`small` with a broadcast hint if its counted rows stay within `most_rows`, without one beyond (a shuffle join follows).
+    """`small` with a broadcast hint if its rows and its bytes stay within bounds, without one beyond (a shuffle join follows).
 
-    Pass a table that is already written (see cut): it is counted from the file footers.
+    Pass a table that is already written (see cut): its bytes are those of its files, its rows are counted from the footers.
     """
-    return F.broadcast(small) if small.count() <= most_rows else small
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(small) if size <= BROADCAST_BYTES and small.count() <= most_rows else small
 
 
 def one_per_key(df: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:

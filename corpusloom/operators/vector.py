@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from corpusloom.functions import stats as S
+from corpusloom.session import cut
 
 BLOCK = 4096  #: queries of one broadcast block
 
@@ -32,6 +33,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_i
     spark = vectors.sparkSession
     good = queries.filter(F.col(query_id).isNotNull() & F.col("embedding").isNotNull()).select(F.col(query_id).cast("bigint").alias("q"), S.doubles(F.col("embedding")).alias("e"))
     stock = vectors.filter(F.col(vector_id).isNotNull() & F.col("embedding").isNotNull()).select(F.col(vector_id).cast("bigint").alias("v"), "embedding")
+    good, stock = cut(good), cut(stock)  # read once for each block
     n = good.count()
     blocks = max(1, -(-n // BLOCK))
     parts = []

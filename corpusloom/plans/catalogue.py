@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import stats as S
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import answers, chunk, clean, crawl, dedup, evaluate, html, vector
+from corpusloom.operators import answers, chunk, clean, crawl, dedup, evaluate, html, joins, vector
 from corpusloom.operators.keys import one_per_key
 from corpusloom.sources import readers, sinks
 
@@ -509,6 +509,60 @@ def embed_report(s: SparkSession, d: str) -> DataFrame:
     return evaluate.embed_report(_t(s, d, "run_reports"))
 
 
+# --- general relational operators ----------------------------------------------------------------------------------
+
+
+@_query(f"WITH {PAGES} SELECT page_id, length(array_to_string(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '')) > 120 AS kept FROM pg")
+def content_filter(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", crawl.has_content(F.col("content")).alias("kept"))
+
+
+@_query("""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'error'), r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT event_id, l.user_id, l.ts, r.value AS value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def last_error(s: SparkSession, d: str) -> DataFrame:
+    """As-of join: the value of each user's latest error at every other event."""
+    e = _t(s, d, "events")
+    return joins.asof_join(e.filter("event_type <> 'error'").select("event_id", "user_id", "ts"), e.filter("event_type = 'error'").select("user_id", "ts", "value"), "user_id", "ts", "value")
+
+
+@_query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 10")
+def price_spans(s: SparkSession, d: str) -> DataFrame:
+    """Interval join: parts whose price lies within 10 above a supplier's balance."""
+    spans = _t(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 10).alias("hi"))
+    return joins.interval_join(_t(s, d, "part").select("p_partkey", "p_retailprice"), spans, "p_retailprice", "lo", "hi", 50.0).select("p_partkey", "s_suppkey")
+
+
+@_query("SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS quantity, grouping(l_returnflag)::INT * 2 + grouping(l_linestatus)::INT AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def quantity_rollup(s: SparkSession, d: str) -> DataFrame:
+    """Roll-up with decimal sums."""
+    l = _t(s, d, "lineitem").rollup(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    return l.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), F.grouping_id().cast("int").alias("level"))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def dearest_orders(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@_query("SELECT l_partkey AS part FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size > 25")
+def large_parts_sold(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "lineitem").select(F.col("l_partkey").alias("part")).intersect(_t(s, d, "part").filter("p_size > 25").select("p_partkey"))
+
+
+@_query("SELECT c_mktsegment AS segment, abs(count(DISTINCT c_custkey) - count(DISTINCT c_custkey)) = 0 AS close FROM customer GROUP BY c_mktsegment")
+def approximate_customers(s: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate number of customers of a segment is within a tenth of the exact one."""
+    by = _t(s, d, "customer").groupBy(F.col("c_mktsegment").alias("segment"))
+    both = by.agg(F.approx_count_distinct("c_custkey", 0.02).alias("about"), F.count_distinct("c_custkey").alias("exact"))
+    return both.select("segment", (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close"))
+
+
+@_query("SELECT run_id, k AS name, outputs[k] AS value FROM (SELECT run_id, outputs, unnest(map_keys(outputs)) AS k FROM run_reports)")
+def run_outputs(s: SparkSession, d: str) -> DataFrame:
+    """The entries of a map column."""
+    return _t(s, d, "run_reports").select("run_id", F.explode("outputs").alias("name", "value"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -30,10 +30,15 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a fresh local one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a fresh local folder serves a local master; a cluster without it is an error.
+    """
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

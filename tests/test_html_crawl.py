@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import crawl, html
+from corpusloom.operators import crawl, html, joins
 from corpusloom.operators.keys import one_per_key
 from corpusloom.sources import readers, sinks
 
@@ -107,3 +107,25 @@ def test_one_per_key(spark):
     df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, None, "z"), (2, None, "z"), (None, 1, "n")], "k int, o int, count string")
     assert sorted((r.k, r["count"]) for r in one_per_key(df, "k", "o").collect()) == [(1, "y"), (2, "z")]
     assert one_per_key(df.limit(0), "k", "o").count() == 0
+
+
+def test_crawl_filters_and_cap(spark):
+    r = spark.createDataFrame([(200, "text/html; charset=utf-8"), (404, "text/html"), (200, "image/png"), (None, None)], "s int, t string")
+    assert [x[0] for x in r.select(crawl.valid_response(F.col("s"), F.col("t"))).collect()] == [True, False, False, False]
+    t = spark.createDataFrame([("x" * 121,), ("  " + "y" * 60 + " \n " + "z" * 60,), ("",), (None,)], "t string")
+    assert [x[0] for x in t.select(crawl.has_content(F.col("t"))).collect()] == [True, False, False, False]
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    s = spark.createDataFrame([("n0",), ("n3",)], "url string")
+    got = sorted((r.seed, r.url, r.depth) for r in crawl.bfs(e, s, most=3).collect())
+    assert got == [("n0", f"n{i}", i) for i in range(3)] + [("n3", f"n{i}", i - 3) for i in range(3, 6)]
+
+
+def test_asof_and_interval_joins(spark):
+    left = spark.createDataFrame([(1, "a", 5, "x"), (2, "a", 1, "x"), (3, "b", 9, None), (4, None, 3, "x"), (1, "a", 5, "x")], "id int, k string, t int, v string")
+    right = spark.createDataFrame([("a", 2, 1.0, "e"), ("a", 5, 2.0, "e"), ("a", 5, 3.0, "e"), ("a", 6, 4.0, "e"), (None, 1, 9.0, "e"), ("c", 1, 9.0, "e")], "k string, t int, w double, extra string")
+    assert sorted((r.id, r.w) for r in joins.asof_join(left, right, "k", "t", "w").collect() if r.w is not None) == [(1, 3.0), (1, 3.0)]
+    assert joins.asof_join(left, right, "k", "t", "w").count() == 5 and joins.asof_join(left, right.limit(0), "k", "t", "w").filter("w is null").count() == 5
+    p = spark.createDataFrame([(0.0,), (4.9,), (5.0,), (-3.0,), (None,)], "x double")
+    q = spark.createDataFrame([(1, 0.0, 5.0), (2, -10.0, 100.0), (3, 5.0, 5.0), (4, None, 1.0)], "s int, lo double, hi double")
+    got = sorted((r.x, r.s) for r in joins.interval_join(p, q, "x", "lo", "hi", 2.0).collect())
+    assert got == sorted((x, s) for x in (0.0, 4.9, 5.0, -3.0) for s, lo, hi in ((1, 0, 5), (2, -10, 100)) if lo <= x < hi)
