@@ -51,5 +51,18 @@ SELECT o.src, id_a, id_b FROM o JOIN n x ON x.src = o.src AND x.id = id_a JOIN n
 """
 
 
+P5_SHARES = f"""
+WITH {_PAGES},
+w AS (SELECT page_id, coalesce({_WORDS.format("content")}, []) AS w FROM pg),
+g AS (SELECT page_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS g FROM (SELECT page_id, w, unnest(range(0, len(w) - 5)) AS i FROM w)),
+later AS (SELECT page_id, i FROM g QUALIFY i > min(i) OVER (PARTITION BY page_id, g)),
+inside AS (SELECT page_id, count(DISTINCT i + j) AS n FROM later, range(6) r(j) GROUP BY page_id)
+SELECT page_id, len(w)::BIGINT AS words, coalesce(n, 0) AS repeated, CASE WHEN len(w) > 0 THEN coalesce(n, 0) / len(w) ELSE 0.0 END AS share
+FROM w LEFT JOIN inside USING (page_id)
+"""
+
+P8_CLEAN = f"SELECT * REPLACE (scraped_at AT TIME ZONE 'UTC' AS scraped_at, loaded_at AT TIME ZONE 'UTC' AS loaded_at) FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM ({P8_FOUND}))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_shares": P5_SHARES, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}
