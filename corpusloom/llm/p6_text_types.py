@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,9 @@ FUNCTION_WORDS = frozenset(
     "le la les de des du un une et est dans pour que qui sur avec par au aux ne pas ce cette il elle nous vous leur sans avant plus se son sa ses ou où été sont "
     "yang dan di ke dari untuk dengan ini itu tidak pada adalah oleh akan telah sebelum tanpa atau juga dalam bagi kepada setiap jika selepas".split()
 )
-_CODE = re.compile(r"[{};=<>\\|~^$#@*_]")
+_CODE = "{};=<>\\|~^$#@*_"
+_ASCII = re.compile(r"[\x00-\x7f]+")
 _DIGIT = re.compile(r"\d")
-_NO_CODE = {ord(c): None for c in "{};=<>\\|~^$#@*_"}
-_NO_DIGIT = {ord(c): None for c in "0123456789"}
 _ENDED = re.compile(r"[.?!]\W{0,4}(?:\(\d+\))?\s*$")
 _CELL = re.compile(r"\t|\s{2,}|[|;,]")
 _VOWEL = re.compile(r"[aeiouyàâéèêëîïôöûüáíóúä]", re.I)
@@ -44,25 +44,30 @@ STATS = ("lines", "words", "word_length", "symbols", "digits", "ended", "common"
 
 
 @functools.lru_cache(1 << 16)
-def _words_in(token: str) -> tuple[str, ...]:
-    """The words of a piece between white space."""
-    return tuple(_WORDS.findall(token))
-
-
-@functools.lru_cache(1 << 16)
-def _silent(word: str) -> bool:
-    return _VOWEL.search(word) is None
+def _piece(piece: str) -> tuple[tuple[str, ...], int, int, int, int]:
+    """The words of a piece between white space: themselves, their number, letters, function words, words without vowels."""
+    own = tuple(_WORDS.findall(piece.lower()))
+    return own, len(own), sum(map(len, own)), sum(w in FUNCTION_WORDS for w in own), sum(_VOWEL.search(w) is None for w in own)
 
 
 def statistics(body: list[tuple[str, str, str]]) -> tuple[float | None, ...]:
     """STATS over the main-body lines (line, plain text, kind): counts, then ratios."""
     text = "\n".join(t for _, t, _ in body)
-    plain_ascii = text.isascii()
-    tokens = text.split()
-    chars = sum(map(len, tokens))
-    if not tokens or not chars:
+    rare = "" if text.isascii() else _ASCII.sub("", text)
+    chars = tokens = long = words = letters = known = silent = 0
+    different: set[str] = set()
+    for piece, n in Counter(text.split()).items():  # pieces recur, within a page and over pages
+        own, k, l, f, v = _piece(piece)
+        tokens += n
+        chars += n * len(piece)
+        long += n * (len(piece) > 24)
+        words += n * k
+        letters += n * l
+        known += n * f
+        silent += n * v
+        different.update(own)
+    if not tokens:
         return (float(len(body)), 0.0) + (None,) * (len(STATS) - 2)
-    low = [w for t in text.lower().split() for w in _words_in(t)]
     in_prose = in_long = ended = 0
     for x, t, k in body:
         n = t.count(" ") + 1
@@ -73,19 +78,19 @@ def statistics(body: list[tuple[str, str, str]]) -> tuple[float | None, ...]:
     cells = sum(len(x) < 160 and len(_CELL.findall(x)) >= 2 and len(_WORDS.findall(x)) <= 8 for x, _, _ in body)
     return (
         float(len(body)),
-        float(len(tokens)),
-        sum(map(len, low)) / max(1, len(low)),
-        (len(text) - len(text.translate(_NO_CODE)) if plain_ascii else len(_CODE.findall(text))) / chars,
-        (len(text) - len(text.translate(_NO_DIGIT)) if plain_ascii else len(_DIGIT.findall(text))) / chars,
-        ended / len(tokens),
-        sum(map(FUNCTION_WORDS.__contains__, low)) / max(1, len(low)),
+        float(tokens),
+        letters / max(1, words),
+        sum(map(text.count, _CODE)) / chars,
+        (sum(map(text.count, "0123456789")) + len(_DIGIT.findall(rare))) / chars,
+        ended / tokens,
+        known / max(1, words),
         sum(bool(_BULLET.match(x)) for x, _, _ in body) / len(body),
-        in_prose / len(tokens),
-        sum(map(_silent, low)) / max(1, len(low)),
-        sum(map((24).__lt__, map(len, tokens))) / len(tokens),
+        in_prose / tokens,
+        silent / max(1, words),
+        long / tokens,
         cells / len(body),
-        1 - len(set(low)) / max(1, len(low)),
-        in_long / len(tokens),
+        1 - len(different) / max(1, words),
+        in_long / tokens,
     )
 
 
