@@ -2,7 +2,9 @@
 
 Method: signature trees. Every text has a token bitmap over its three-word shingles and a size; nodes hold the OR of
 their children's bitmaps, their size range and their largest count of tokens hidden by bit collisions. A dual traversal
-drops a pair of nodes when sizes or the largest possible overlap cannot reach the threshold. One tree over the whole
+drops a pair of nodes when sizes or the largest possible overlap cannot reach the threshold. Nodes hold BITS bits; a text
+has SPREAD bits for each shingle, by which the pairs of leaves are tested again: in BITS bits all long texts look alike,
+and every pair of them that shares a window would be written and checked. One tree over the whole
 collection would compare all pairs of leaves, so texts are first routed to shards: a shard holds the texts that share an
 eight-word window (windows are picked by their hash, so both texts of a pair pick the same ones). Only ids travel to the
 shards; shards that another one contains are dropped, and a bitmap is attached once for each text and shard that is left.
@@ -27,14 +29,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.words import distinct_in, windows, word_hashes
 from corpusloom.operators.keys import measured_broadcast, one_per_key
-from corpusloom.session import cut
+from corpusloom.session import cut, cut_and_release
 
 MIN_WORDS, SHINGLE, THRESHOLD = 50, 3, 0.6
 ROUTE, ROUTE_LEAST = 8, 24  #: words of a routing window; windows that every text keeps at least
 BITS = 1024
+SPREAD = 2  #: bits of a text's own bitmap for each of its shingles, rounded up to BITS times a power of two
 FAN = 8
-SHARD = 4096  #: texts of a shard; larger ones are cut into blocks of half the size
-HEAVY = 8 * SHARD  #: texts on a window from which it is salted before it is grouped
+MATRIX = 3  #: level whose pairs of nodes, if they hold MATRIX_PAIRS pairs of texts, are compared as matrices
+MATRIX_PAIRS = 4096
+SHARD = 1 << 15  #: texts of a shard; larger ones are cut into blocks of half the size, and each block travels once for each other one
+HEAVY = SHARD  #: texts on a window from which it is salted before it is grouped
+CLUSTER = 4096  #: pairs of a cluster in the exact check
 COUNTERS = 1 << 16  #: counters of a heavy-hitter summary
 FULL = 64  #: classes of up to so many copies are written out pair by pair; larger ones as links to their representative
 SLICE = 1 << 17
@@ -60,6 +66,50 @@ def bitmaps(sh: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+class Wide:
+    """Bitmaps of a width that follows the text's size: uint64 words one text after the other, as many as words_of says."""
+
+    def __init__(self, flat: np.ndarray, words: np.ndarray) -> None:
+        self.flat, self.words = flat, words
+        self.at = np.cumsum(words) - words
+
+    @staticmethod
+    def words_of(size: np.ndarray) -> np.ndarray:
+        """Words of a bitmap over `size` shingles."""
+        return (BITS // 64) << np.ceil(np.log2(np.maximum(1, SPREAD * size / BITS))).astype(np.int64)
+
+    @classmethod
+    def of(cls, sh: np.ndarray, doc: np.ndarray, size: np.ndarray) -> Wide:
+        words = cls.words_of(size)
+        out = cls(np.zeros(int(words.sum()), np.uint64), words)
+        bit = (sh >> np.uint64(20)) % (np.uint64(64) * words.astype(np.uint64))[doc]
+        np.bitwise_or.at(out.flat, out.at[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        return out
+
+    def folded(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """(rows, words): bitmaps of texts of `words` words or more, the wider ones folded to that width."""
+        out = np.empty((len(rows), words), np.uint64)
+        for w in np.unique(self.words[rows]):
+            i = np.flatnonzero(self.words[rows] == w)
+            out[i] = np.bitwise_or.reduce(self.flat[self.at[rows[i]][:, None] + np.arange(w)].reshape(len(i), -1, words), axis=1)
+        return out
+
+    def may_reach(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, t: float) -> np.ndarray:
+        """Whether the bitmaps of the texts a and b leave it open that their overlap reaches t."""
+        ok = np.ones(len(a), bool)
+        least = np.minimum(self.words[a], self.words[b])
+        for w in np.unique(least):
+            if w == BITS // 64:  # that is what the tree has compared
+                continue
+            at = np.flatnonzero(least == w)
+            for lo in range(0, len(at), max(1, SLICE * BITS // 64 // int(w) // 8)):
+                i = at[lo : lo + max(1, SLICE * BITS // 64 // int(w) // 8)]
+                x, y = self.folded(a[i], int(w)), self.folded(b[i], int(w))
+                hidden = np.minimum(size[a[i]] - np.bitwise_count(x).sum(axis=1, dtype=np.int64), size[b[i]] - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+                ok[i] = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + hidden >= t / (1 + t) * (size[a[i]] + size[b[i]]) - 1e-9
+        return ok
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["src", "id", "c1", "c2", "n", "wins", "sig"]
     for whole in batches:
@@ -77,11 +127,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             win, wdoc = distinct_in(*windows(h, n, ROUTE)[:2])
             ok = keep[wdoc] & (win % rate[wdoc].astype(np.uint64) == 0)
             win, wdoc = win[ok], wdoc[ok]
-            sig = bitmaps(sh, doc, len(n))[keep]
+            wide = Wide.of(sh, doc, size)
+            sig = [wide.flat[i : i + k].tobytes() for i, k in zip(wide.at[keep].tolist(), wide.words[keep].tolist())]
             offs = np.concatenate([[0], np.cumsum(np.bincount(wdoc, minlength=len(n))[keep])]).astype(np.int32)
             at = pa.array(keep)
             wins = pa.ListArray.from_arrays(pa.array(offs), pa.array(win.view(np.int64)))
-            sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
+            sigs = pa.array(sig, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(at), b.column(1).filter(at), pa.array(c1.view(np.int64)[keep]), pa.array(c2.view(np.int64)[keep]), pa.array(size[keep], pa.int32()), wins, sigs], names)
 
 
@@ -101,10 +152,11 @@ def _starts(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero((np.arange(len(group)) - first) % FAN == 0)
 
 
-def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray | None = None, t: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray | None = None, t: float = THRESHOLD, wide: Wide | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that the dual traversal of each group's tree leaves; rows are sorted by group and size.
 
-    side: if given, only pairs of different sides inside a group count.
+    side: if given, only pairs of different sides inside a group count. wide: if given, pairs of leaves have to pass it too.
+    The traversal goes down slice by slice, so what it holds does not grow with the pairs of nodes.
     """
     hidden = size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
     levels = [(group, size, size, sig, hidden, np.empty(0, np.int64))]
@@ -114,12 +166,40 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.nd
         if len(levels) > 1 and len(at) == len(g):
             break
         levels.append((g[at], lo[at], np.maximum.reduceat(hi, at), np.bitwise_or.reduceat(s, at, axis=0), np.maximum.reduceat(x, at), np.r_[at, len(g)]))
-    a = b = np.arange(len(levels[-1][0]))
-    for k in range(len(levels) - 1, 0, -1):
+    first = [np.arange(len(size) + 1)]  # of every level: the first text of each node
+    for level in levels[1:]:
+        first.append(first[-1][level[5]])
+    outs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def leave(a: np.ndarray, b: np.ndarray) -> None:
+        if wide is not None:
+            ok = wide.may_reach(a, b, size, t)
+            a, b = a[ok], b[ok]
+        outs.append((a, b))
+
+    def matrix(i: slice, j: slice) -> None:
+        """The pairs of texts of two nodes; counts are whole numbers, exact in single precision."""
+        x, y = (np.unpackbits(sig[r].view(np.uint8), axis=1).astype(np.float32) for r in (i, j))
+        most = x @ y.T + np.minimum(hidden[i, None], hidden[None, j]).astype(np.float32)
+        need = (t / (1 + t)) * (size[i, None] + size[None, j])
+        ok = most >= need - 1e-9
+        if side is not None:
+            ok &= side[i, None] != side[None, j]
+        a, b = np.nonzero(np.triu(ok, 1) if i == j else ok)
+        leave(a + i.start, b + j.start)
+
+    per = max(1, SLICE // (FAN * FAN))
+
+    def down(k: int, a: np.ndarray, b: np.ndarray) -> None:
+        """The children of the node pairs (a, b) of level k that may hold a pair of texts."""
+        if k == MATRIX:
+            f = first[k]
+            large = (f[a + 1] - f[a]) * (f[b + 1] - f[b]) >= MATRIX_PAIRS
+            for p, q in zip(a[large].tolist(), b[large].tolist()):
+                matrix(slice(f[p], f[p + 1]), slice(f[q], f[q + 1]))
+            a, b = a[~large], b[~large]
         edges = levels[k][5]
         _, lo, hi, s, x, _ = levels[k - 1]
-        outs = []
-        per = max(1, SLICE // (FAN * FAN))
         for i in range(0, len(a), per):
             pa_, pb_ = a[i : i + per], b[i : i + per]
             na, nb = edges[pa_ + 1] - edges[pa_], edges[pb_ + 1] - edges[pb_]
@@ -134,9 +214,16 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.nd
             ca, cb = ca[ok], cb[ok]
             most = np.bitwise_count(s[ca] & s[cb]).sum(axis=1, dtype=np.int64) + np.minimum(x[ca], x[cb])
             ok = most >= t / (1 + t) * (lo[ca] + lo[cb]) - 1e-9
-            outs.append((ca[ok], cb[ok]))
-        a = np.concatenate([o[0] for o in outs]) if outs else np.empty(0, np.int64)
-        b = np.concatenate([o[1] for o in outs]) if outs else np.empty(0, np.int64)
+            ca, cb = ca[ok], cb[ok]
+            if k > 1:
+                down(k - 1, ca, cb)
+            else:
+                leave(ca, cb)
+
+    roots = np.arange(len(levels[-1][0]))
+    down(len(levels) - 1, roots, roots)
+    a = np.concatenate([o[0] for o in outs]) if outs else np.empty(0, np.int64)
+    b = np.concatenate([o[1] for o in outs]) if outs else np.empty(0, np.int64)
     return a, b
 
 
@@ -145,11 +232,13 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def join(t: pa.Table) -> pa.RecordBatch:
         shard, side, src, ids, n = (t.column(i).to_numpy() for i in range(5))
-        sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(n), BITS // 64)
         o = np.lexsort((n, shard))
-        shard, side, src, ids, n, sig = shard[o], side[o], src[o], ids[o], n[o].astype(np.int64), sig[o]
+        shard, side, src, ids, n = shard[o], side[o], src[o], ids[o], n[o].astype(np.int64)
+        flat = np.frombuffer(b"".join(t.column(5).take(pa.array(o)).to_pylist()), np.uint64)
+        wide = Wide(flat, Wide.words_of(n))
+        sig = np.bitwise_or.reduceat(flat.reshape(-1, BITS // 64), wide.at // (BITS // 64), axis=0)
         cross = np.where(side < 0, -1 - np.arange(len(side)), side)  # inside one block every text is its own side
-        a, b = tree_pairs(shard, n, sig, cross)
+        a, b = tree_pairs(shard, n, sig, cross, wide=wide)
         lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         p = np.unique(np.stack([src[a].astype(np.int64), lo, hi], axis=1), axis=0) if len(a) else np.empty((0, 3), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int32()), pa.array(p[:, 1]), pa.array(p[:, 2])], ["src", "a", "b"])
@@ -268,7 +357,7 @@ def shards(reps: DataFrame) -> DataFrame:
         salted = salted.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), F.when(same, F.lit(-1)).otherwise(F.col("mine")).alias("side"), "src", "id", "n")
         rows = rows.join(hint, "key", "left_anti").select("key", "side", "src", "id", "n").unionByName(salted)
     grouped = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _group_windows(it, most), "src int, ids array<bigint>, first int")
-    grouped = cut(grouped)
+    grouped = cut_and_release(grouped)
     one = grouped.filter("first = 0").select(F.col("ids")[0].alias("least"), "src", "ids", "first")
     largest = one.repartition("least", "src").sortWithinPartitions("least").mapInArrow(_largest, "src int, ids array<bigint>, first int")
     return grouped.filter("first > 0").unionByName(largest)
@@ -276,7 +365,7 @@ def shards(reps: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """(src, a, b), a < b: the pairs of representatives that their shards' trees leave."""
-    each = cut(shards(reps).withColumn("shard", F.monotonically_increasing_id()))
+    each = cut_and_release(shards(reps).withColumn("shard", F.monotonically_increasing_id()))
     each = each.select("shard", "src", "first", F.posexplode("ids").alias("at", "id"))
     side = F.when(F.col("first") == 0, F.lit(-1)).otherwise((F.col("at") >= F.col("first")).cast("int"))
     rows = each.select("shard", side.alias("side"), "src", "id").join(reps.select("src", "id", "n", "sig"), ["src", "id"]).select("shard", "side", "src", "id", "n", "sig")
@@ -320,8 +409,8 @@ def clustered(pairs: DataFrame) -> DataFrame:
     least = cut(ends.groupBy("src", "id").agg(F.least(F.min("o"), F.col("id")).alias("m")))
     ma, mb = least.select("src", F.col("id").alias("a"), F.col("m").alias("x")), least.select("src", F.col("id").alias("b"), F.col("m").alias("y"))
     named = cut(pairs.join(ma, ["src", "a"]).join(mb, ["src", "b"]).select("src", "a", "b", F.least("x", "y").alias("m")))
-    large = cut(named.groupBy("src", "m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHARD))
-    salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("c") / SHARD), F.lit(1)))
+    large = cut(named.groupBy("src", "m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CLUSTER))
+    salt = F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("c") / CLUSTER), F.lit(1)))
     return named.join(measured_broadcast(large), ["src", "m"], "left").select(F.xxhash64("src", "m", salt).alias("cluster"), "src", "a", "b")
 
 
@@ -333,7 +422,7 @@ class NearCopies:
 
     def __init__(self, texts: DataFrame, threshold: float = THRESHOLD) -> None:
         texts = one_per_key(texts.select("src", "id", "text", *(["at"] if "at" in texts.columns else [])), ["src", "id"], "at" if "at" in texts.columns else None)
-        docs = cut(describe(texts))
+        docs = cut_and_release(describe(texts))
         ids = docs.select("src", "id", "c1", "c2", "n")
         classes = ids.groupBy("src", "c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
         several = cut(classes.filter("k > 1"))
@@ -341,17 +430,17 @@ class NearCopies:
         self.members = cut(ids.join(measured_broadcast(several), ["src", "c1", "c2", "n"]).select("src", "rep", "id", "k"))
         copies = self.members.filter("id <> rep").select("src", "id")
         reps = docs.join(measured_broadcast(copies), ["src", "id"], "left_anti").select("src", "id", "n", "wins", "sig")
-        pairs = cut(candidates(reps))
+        pairs = cut_and_release(candidates(reps))
         wanted = cut(pairs.select("src", F.col("a").alias("id")).union(pairs.select("src", F.col("b").alias("id"))).distinct())
         some = texts.select("src", "id", "text").join(measured_broadcast(wanted), ["src", "id"], "left_semi")
         # a text goes once to each of its clusters; texts take less room than sets
-        named = cut(clustered(pairs))
+        named = cut_and_release(clustered(pairs))
         places = named.select("cluster", "src", F.col("a").alias("id")).union(named.select("cluster", "src", "b")).distinct()
         rows = places.join(some, ["src", "id"]).select("cluster", "src", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
         rows = rows.unionByName(named.withColumn("text", F.lit(None).cast("string")).select("cluster", "src", "a", "b", "text"))
         checked = rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_similar, "src int, a bigint, b bigint, similarity double")
         #: (src, a, b, similarity): links between representatives
-        self.links = cut(checked.filter(F.col("similarity") >= threshold - 1e-12))
+        self.links = cut_and_release(checked.filter(F.col("similarity") >= threshold - 1e-12))
         self.ids = ids.select("src", "id")
 
     def pairs(self) -> DataFrame:

@@ -49,3 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/corpusloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_and_release(df: DataFrame) -> DataFrame:
+    """cut, and the shuffle files that were needed for it go now, not when the driver next happens to collect its garbage."""
+    out = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -182,6 +182,34 @@ def test_tree_drops_no_pair_above_the_threshold():
     assert want <= got and len(got) < 60 * 59 / 8
 
 
+def test_long_texts_on_one_window_are_no_candidates(spark):
+    rng = random.Random(4)
+    core = [f"c{i}" for i in range(40)]
+    rows = [(0, i, " ".join(core + [f"w{rng.randrange(50_000)}" for _ in range(900 + 10 * i)])) for i in range(60)]
+    for i in range(5):  # near copies, one of them twice as wide as its original
+        w = rows[i][2].split() + [f"y{k}" for k in range(150)]
+        rows.append((0, 100 + i, " ".join(w[:70] + w[90:])))
+    reps = p3_near_copies.describe(spark.createDataFrame(rows, "src int, id bigint, text string"))
+    assert {(r.src, r.a, r.b) for r in p3_near_copies.candidates(reps).collect()} == brute_pairs(rows) == {(0, i, 100 + i) for i in range(5)}
+
+
+def test_matrices_leave_what_the_tree_leaves(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(9000, rng.integers(50, 1200), replace=False) for _ in range(300)]
+    sets += [np.unique(np.r_[s[: int(rng.uniform(0.6, 1) * len(s))], rng.choice(9000, 20)]) for s in sets]
+    sets.sort(key=len)
+    size = np.array([len(s) for s in sets])
+    sh, doc = np.concatenate(sets).astype(np.uint64) << np.uint64(20), np.repeat(np.arange(600), size)
+    side = rng.integers(0, 2, 600)
+    args = (np.zeros(600, np.int64), size, p3_near_copies.bitmaps(sh, doc, 600), side)
+    wide = p3_near_copies.Wide.of(sh, doc, size)
+    got = [set(zip(*p3_near_copies.tree_pairs(*args, wide=w))) for w in (None, wide)]
+    monkeypatch.setattr(p3_near_copies, "MATRIX_PAIRS", 1 << 40)
+    assert got == [set(zip(*p3_near_copies.tree_pairs(*args, wide=w))) for w in (None, wide)] and got[1] < got[0]
+    q = [set(s.tolist()) for s in sets]
+    assert {(i, j) for j in range(600) for i in range(j) if side[i] != side[j] and len(q[i] & q[j]) >= 0.6 * len(q[i] | q[j])} <= got[1]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 7, 3), (0, 9, 10), (1, 1, 5)] + [(0, 20 + i, 21 + i) for i in range(12)], "src int, a bigint, b bigint")
     got = {(r.src, r.id): r.label for r in p3_near_copies.components(e).collect()}
