@@ -7,7 +7,10 @@ optional, tokens that follow themselves become repeated, runs of other lines bec
 by the same alignment, so pages of a site never meet in one task. The expression tells on how many pages each token stands
 and where relative to the running text: a line on a good share of a site's pages is furniture wherever it stands, a rarer
 short one where it always stands on one side of the text, a list of known labels is a menu, and a known head makes its line
-furniture. A small grammar of common web furniture labels what recurs on too few pages, and spares bylines, legal notices
+furniture. The order of the expression tells what belongs to the head and the footer of a site: its first template tokens, as
+long as they stand before the text, and its last ones, as long as they stand behind it. A rarer token between those of the
+head, or behind one of the footer, is furniture there; pages without running text say nothing of a token's place. A small
+grammar of common web furniture labels what recurs on too few pages, and spares bylines, legal notices
 and remarks.
 
 Defined results: null ids go, a repeated page_id counts once (latest delivery); null and empty content has no lines; a
@@ -260,7 +263,8 @@ def stream(found_: list[tuple[int, int, int]], kinds: str, tokens: set[int]) ->
             seen[k].repeated = 1
             continue
         n = seen[k] = Node(k, what, 1)
-        n.head, n.tail, n.mid = int(i < first), int(i >= first and i > last), int(first <= i <= last)
+        if prose:  # else the order of the expression has to tell
+            n.head, n.tail, n.mid = int(i < first), int(i > last), int(first <= i <= last)
         n.titles = int(kinds[i + 1 : i + 3] == "tt")
         n.short = int(kinds[i] != "p")
         n.listed = int(i - 1 in headed or i + 1 in headed)
@@ -412,8 +416,26 @@ class Site:
         self.boxes: set[int] = set()
         self.template: set[int] = set()
         self.behind: set[int] = set()
+        #: template tokens of the head and the footer, and what stands before the last or behind the first of them in the expression
+        self.header: set[int] = set()
+        self.footer: set[int] = set()
+        self.top: set[int] = set()
+        self.foot: set[int] = set()
         pages = pages or 0
-        for n in _load(nodes) if nodes else []:
+        ordered = _load(nodes) if nodes else []
+        for some, found_, within, side in ((ordered, self.header, self.top, "head"), (ordered[::-1], self.footer, self.foot, "tail")):
+            rarer: list[int] = []  # since the last template token of the side
+            for n in some:
+                placed = n.head + n.tail + n.mid
+                if n.what == LINE and n.pages >= max(8, TEMPLATE_SHARE * pages):
+                    if getattr(n, side) < 0.95 * max(1, placed):
+                        break
+                    found_.add(n.key)
+                    within.update(rarer)
+                    rarer = []
+                elif n.what != LABEL and n.short >= 0.9 * n.pages and getattr(n, side) >= 0.95 * placed:
+                    rarer.append(n.key)
+        for n in ordered:
             if n.what == LABEL:
                 if n.pages >= NAV_SHARE * pages:
                     self.nav.add(n.key)
@@ -424,12 +446,12 @@ class Site:
                 continue
             if n.pages >= max(8, TEMPLATE_SHARE * pages):
                 self.template.add(n.key)
-            elif n.pages >= max(8, NAV_SHARE * pages) and n.short >= 0.9 * n.pages and n.tail >= 0.95 * n.pages:
+            elif n.pages >= max(8, NAV_SHARE * pages) and n.short >= 0.9 * n.pages and n.tail >= max(1, 0.95 * (n.head + n.tail + n.mid)):
                 self.behind.add(n.key)
             if n.short >= 0.9 * n.pages and n.pages >= 4:
                 if n.titles >= 0.6 * n.pages:
                     self.boxes.add(n.key)
-                elif n.mid <= 0.05 * n.pages and n.pages >= 8:
+                elif n.mid <= 0.05 * n.pages and n.pages >= 8 and n.key in self.top:
                     self.outside.add(n.key)
 
 
@@ -451,6 +473,8 @@ def annotate(content: str | None, site: Site, all_: list[tuple] | None = None) -
     started = False
     heads: list[int] = []
     behind: list[int] = []
+    header = max((i for i, f in enumerate(all_) if f[2] in site.header), default=-1)
+    footer = False
     for i, (x, (t, k, key, labels, head)) in enumerate(zip(lines, all_)):
         got = "M"
         if k == "b":
@@ -476,13 +500,14 @@ def annotate(content: str | None, site: Site, all_: list[tuple] | None = None) -
                 if key in site.boxes and kinds[i + 1 : i + 3] == ["t", "t"]:
                     got = "F"
                     heads.append(i)
-                elif key in site.outside and not started and len(labels) == 1:
+                elif key in site.outside and i < header and not started and len(labels) == 1:
                     got = "F"
         if got == "M" and len(t) <= LONG:
             if key in site.template or head in site.slots:
                 got = "F"
-            elif key in site.behind:
+            elif key in site.behind or (footer and (key in site.foot or head in site.foot)):
                 behind.append(i)
+        footer = footer or key in site.footer
         if got == "M" and (k in "po"):
             started = True
         out.append(got)

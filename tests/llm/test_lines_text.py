@@ -196,6 +196,32 @@ def test_p4_wrapper_labels_furniture_of_any_wording():
         assert got == "FMMFMY" + "F" * (len(p) - 6)
 
 
+def test_p4_order_of_the_expression_tells_the_footer(monkeypatch):
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    text = [f"The clerk of ward {name(i)} read the entry aloud to the assembled members of the council." for i in range(80)]
+    pages = []
+    for i in range(79):
+        body = [text[i], text[i + 1]] if i % 8 else [f"Ward {name(i)}"]  # every eighth page has no running text
+        rare = i in (1, 8, 16)
+        pages.append(["Biscuit settings for visitors.", *body, *(["Berth plan of the ward"] if rare else []), "Made with care in Norvane", *(["Find our lanterns"] if rare else [])])
+    site = wrapper_site(pages)
+    assert p4_main_body.label_lines("\n".join(pages[1]), site) == "FMMMFF" and p4_main_body.label_lines("\n".join(pages[8]), site) == "FMMFF"
+    with monkeypatch.context() as m:
+        m.setattr(p4_main_body, "Site", lambda *args: args)
+        nodes, *rest = wrapper_site(pages)
+    turned = p4_main_body.Site(p4_main_body._dump(p4_main_body._load(nodes)[::-1]), *rest)
+    assert p4_main_body.label_lines("\n".join(pages[1]), turned) == "FMMMFM"
+
+
+def test_p4_pages_without_running_text_do_not_make_their_headings_furniture():
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    text = [f"The clerk of ward {name(i)} read the entry aloud to the assembled members of the council." for i in range(241)]
+    pages = [["Biscuit settings for visitors.", *(["Notice to mariners"] if i % 24 == 8 else []), "Moorings and pilots", *([text[i], text[i + 1]] if i % 25 else ["Tier Month Rate", f"Fund {name(i)}"])] for i in range(240)]
+    site = wrapper_site(pages)
+    assert p4_main_body.label_lines("\n".join(pages[25]), site) == "FFMM"  # a heading of tables, on ten pages
+    assert p4_main_body.label_lines("\n".join(pages[8]), site) == "FFFMM"  # on ten pages too, but among the lines of the head
+
+
 def test_p4_side_box_of_any_length():
     links = [f"How the {n} works" for n in ("zeppelin", "kayak", "oboe", "loom", "glacier", "comet", "anvil", "heron", "turbine", "lantern", "meadow", "saddle", "walnut", "harbour")]
     body = prose_body(0)
